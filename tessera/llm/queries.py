@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import MIX_SQL, mix
+from tessera.llm.knn import voronoi_knn
+from tessera.llm.ngram import held_out, score_texts
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.suffix import remove_repeats
 from tessera.llm.urls import judge_urls
@@ -21,6 +23,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), held_out(F.col("doc_id")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -37,6 +47,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_voronoi_knn": op3_voronoi_knn,
+        "op4_deleted_interpolation": op4_deleted_interpolation,
         "op6_mixing": op6_mixing,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_url_filter": op9_url_filter,
