@@ -67,9 +67,11 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.nd
     return text, kmers[p], span_hash(prefix, first, last + length), first - off[text], last - off[text], p - first
 
 
-def insert_columns(group: np.ndarray, strings: list[bytes], shift: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def insert_columns(group: np.ndarray, strings: list[bytes], shift: np.ndarray, starts: np.ndarray, length: int = LENGTH, owner: np.ndarray | None = None, many: np.ndarray | None = None) -> np.ndarray:
     """Repeated starts of aligned strings, strings by starts (boolean).
 
+    With owner (the text that a string is of) and many (it is of several), a start must be repeated in another text.
+
     group: sorted group numbers; shift: the anchor's offset in each string; starts: number of starts of each string.
     Rounds go from the last column to the first. ``order`` lists the strings by (group, suffix from the column on) and
     ``common`` holds each one's common prefix with the one before it.
@@ -111,7 +113,14 @@ def insert_columns(group: np.ndarray, strings: list[bytes], shift: np.ndarray, s
             fresh[same] = np.minimum.reduceat(common, bounds)[::2] + 1
         order, common = order[to], fresh
         if c <= room:
-            hit = order[np.maximum(common[:-1], common[1:]) >= length]
+            if owner is None:
+                hit = order[np.maximum(common[:-1], common[1:]) >= length]
+            else:
+                alike = np.flatnonzero(common[:-1] < length)
+                sizes_ = np.diff(np.append(alike, len(order)))
+                own = owner[order]
+                wide = (np.minimum.reduceat(own, alike) != np.maximum.reduceat(own, alike)) | np.logical_or.reduceat(many[order], alike)
+                hit = order[np.repeat(wide, sizes_)]
             j = c - begin[hit]
             inside = j < starts[hit]
             repeated[hit[inside], j[inside]] = True
@@ -122,10 +131,11 @@ def _mask(rows: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.packbits(rows, axis=1, bitorder="little")]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATCH_RUNS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATCH_RUNS, across: bool = False) -> DataFrame:
     """(rid, tag, first, last, mask): starts first..last of a row's text are repeated, or, with a mask, those whose bit is set.
 
-    ``docs`` has rid, tag (the row's key) and text.
+    ``docs`` has rid, tag (the row's key) and text. With ``across``, it has grp too: strings count as repeated only across
+    distinct rows of one grp.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +143,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
             text, anchor, run, first, last, shift = runs(data, off, length)
             if len(text):
                 key = rows.select(["rid", "tag"]).take(pa.array(text))
+                if across:
+                    anchor = mix64(anchor ^ mix64(rows.column(rows.schema.get_field_index("grp")).to_numpy()[text].view(np.uint64)))
                 pos = first << 16 | (last - first) << 8 | shift
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), key.column(0), key.column(1), pa.array(pos)], names=["anchor", "run", "rid", "tag", "pos"])
 
@@ -147,7 +159,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
             a = np.repeat(off[:-1], n) + (pos >> 16)
             z = a + (pos >> 8 & 0xFF) + length
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([flat["anchor"].combine_chunks(), flat["run"].combine_chunks(), pa.array(pos & 0xFF), pa.array([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], type=pa.binary())], names=["anchor", "run", "shift", "bytes"])
+            yield pa.RecordBatch.from_arrays([flat["anchor"].combine_chunks(), flat["run"].combine_chunks(), pa.array(pos & 0xFF), pa.array(np.repeat(rows.column(rows.schema.get_field_index("rid")).to_numpy(), n)), flat["many"].combine_chunks(), pa.array([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], type=pa.binary())], names=["anchor", "run", "shift", "owner", "many", "bytes"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in keyed_groups(batches, "anchor"):
@@ -160,7 +172,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
                 group = np.repeat(np.arange(to - at), np.diff(edges[at : to + 1]))
                 strings = part.column("bytes").to_pylist()
                 starts = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) - length + 1
-                found = insert_columns(group, strings, part.column("shift").to_numpy(), starts, length)
+                who = (part.column("owner").to_numpy(), part.column("many").to_numpy()) if across else ()
+                found = insert_columns(group, strings, part.column("shift").to_numpy(), starts, length, *who)
                 some = np.flatnonzero(found.any(axis=1))
                 if len(some):
                     p = part.select(["anchor", "run"]).take(pa.array(some)).combine_chunks()
@@ -174,8 +187,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
             row = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             a = off[row] + j
-            key = rows.select(["anchor", "run"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), pa.array(j), pa.array(span_hash(prefix, a, a + length).view(np.int64))], names=["anchor", "run", "j", "h"])
+            key = rows.select(["anchor", "run", "owner", "many"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*key.columns, pa.array(j), pa.array(span_hash(prefix, a, a + length).view(np.int64))], names=["anchor", "run", "owner", "many", "j", "h"])
 
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,30 +199,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
 
     n = partitions(docs.sparkSession)
     # the runs are found twice rather than written: they are larger than what is left of them
-    found = docs.select("rid", "tag", "text").mapInArrow(find, "anchor long, run long, rid long, tag int, pos long")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
+    found = docs.mapInArrow(find, "anchor long, run long, rid long, tag int, pos long")
+    several_rows = F.min("rid") != F.max("rid") if across else F.count(F.lit(1)) > 1
+    twice = found.groupBy("anchor").agg(several_rows.alias("many"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("many")
     twice = twice.select(F.col("anchor").alias("t_anchor"), (F.col("lo") != F.col("hi")).alias("several"))
     seen = materialize(found.join(twice, F.col("anchor") == F.col("t_anchor")).drop("t_anchor"), "runs")
     alone = seen.where("not several").select("rid", "tag", "pos", F.lit(None).cast("binary").alias("mask"))
     several = seen.where("several").drop("several")
-    kinds = materialize(several.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "tag", "pos")).alias("at")), "kinds")
+    kinds = materialize(several.groupBy("anchor", "run").agg(several_rows.alias("many"), F.min(F.struct("rid", "tag", "pos")).alias("at")), "kinds")
     crowded = kinds.groupBy("anchor").count().where(F.col("count") > batch_runs).select("anchor")
     some_crowded = bool(crowded.limit(1).count())
 
     def bytes_of(which: DataFrame) -> DataFrame:
-        wanted = which.groupBy(F.col("at.rid").alias("w_rid"), F.col("at.tag").alias("w_tag")).agg(F.collect_list(F.struct("anchor", "run", F.col("at.pos").alias("pos"))).alias("wanted"))
+        wanted = which.groupBy(F.col("at.rid").alias("w_rid"), F.col("at.tag").alias("w_tag")).agg(F.collect_list(F.struct("anchor", "run", "many", F.col("at.pos").alias("pos"))).alias("wanted"))
         joined = docs.join(wanted, (F.col("rid") == F.col("w_rid")) & (F.col("tag") == F.col("w_tag")))
-        return joined.select("text", "wanted").mapInArrow(cut, "anchor long, run long, shift long, bytes binary")
+        return joined.select("rid", "text", "wanted").mapInArrow(cut, "anchor long, run long, shift long, owner long, many boolean, bytes binary")
 
     plain = kinds.join(crowded, "anchor", "left_anti") if some_crowded else kinds
     parts = bytes_of(plain).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(order, "anchor long, run long, mask binary")
     if some_crowded:
-        each = materialize(bytes_of(kinds.join(crowded, "anchor")).mapInArrow(hashes, "anchor long, run long, j long, h long"), "hashes")
-        common = each.groupBy("anchor", "h").count().where("count > 1").select(F.col("anchor").alias("c_anchor"), F.col("h").alias("c_h"))
+        each = materialize(bytes_of(kinds.join(crowded, "anchor")).mapInArrow(hashes, "anchor long, run long, owner long, many boolean, j long, h long"), "hashes")
+        twice_ = (F.min("owner") != F.max("owner")) | F.max("many") if across else F.count(F.lit(1)) > 1
+        common = each.groupBy("anchor", "h").agg(twice_.alias("twice")).where("twice").select(F.col("anchor").alias("c_anchor"), F.col("h").alias("c_h"))
         shared = each.join(common, (F.col("anchor") == F.col("c_anchor")) & (F.col("h") == F.col("c_h")))
         parts = parts.union(shared.groupBy("anchor", "run").agg(F.collect_list("j").alias("js")).mapInArrow(masks, "anchor long, run long, mask binary"))
     parts = materialize(parts, "masks").select(F.col("anchor").alias("p_anchor"), F.col("run").alias("p_run"), "mask")
-    whole = kinds.where("n > 1").select(F.col("anchor").alias("k_anchor"), F.col("run").alias("k_run"))
+    whole = kinds.where("many").select(F.col("anchor").alias("k_anchor"), F.col("run").alias("k_run"))
     a = several.join(whole, (F.col("anchor") == F.col("k_anchor")) & (F.col("run") == F.col("k_run"))).select("rid", "tag", "pos", F.lit(None).cast("binary").alias("mask"))
     b = several.join(parts, (F.col("anchor") == F.col("p_anchor")) & (F.col("run") == F.col("p_run"))).select("rid", "tag", "pos", "mask")
     return alone.union(a).union(b)
