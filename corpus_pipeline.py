@@ -1,15 +1,74 @@
-"""The corpus pipeline (placeholder until its stages exist)."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Language ID drops documents that it rejects; SimHash keeps the smallest doc_id of each group; suffix-array dedup cuts
+strings of 200 bytes that stand more than once; decontamination drops documents that overlap a benchmark item; mixing
+says how often each document is taken. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import shared_dir
+from tessera.llm.decontamination import find_overlaps
+from tessera.llm.langid import identify_documents
+from tessera.llm.mixing import mix
+from tessera.llm.simhash import simhash_groups
+from tessera.llm.suffix import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Accepted documents. Null and empty texts have no evidence of their own and go."""
+    return identify_documents(docs.select(*COLUMNS)).where("accepted").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each SimHash group. Rows of one doc_id are one document: one of them stays."""
+    groups = simhash_groups(docs)
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id"]) if twice else rows
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the repeated strings; n_chars is counted anew."""
+    rows = remove_repeats(docs.select(*COLUMNS), as_text=True).withColumn("text", F.col("kept"))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_overlaps(docs.select(*COLUMNS), benchmark).where(F.size("overlaps") == 0).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many copies of each document the mix takes."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
+#: Fingerprints, suffix orders and spaced seeds are beyond SQL: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
     return docs

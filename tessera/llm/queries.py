@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.mixing import MIX_SQL, mix
 from tessera.llm.decontamination import find_overlaps
 from tessera.llm.extraction import extract_text
@@ -38,6 +39,16 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), held_out(F.col("doc_id")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identify_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("lang").alias("declared"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "accepted")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return rows.select("page_id", "url", "language", F.round("posterior", 6).alias("posterior"), "text_language", "accepted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -67,11 +78,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_voronoi_knn": op3_voronoi_knn,
         "op4_deleted_interpolation": op4_deleted_interpolation,
+        "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_extraction": op10_extraction,
+        "language_id_pages": language_id_pages,
     }
 
 

@@ -230,9 +230,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
     return alone.union(a).union(b)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """All rows with their columns, and n_bytes, n_removed, n_spans, kept (binary: the bytes left).
 
+    With ``as_text``, kept is a string without the broken bytes of characters that were cut.
+
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another.
     Texts are judged as UTF-8 on the input; null is empty; shorter texts keep all. Rows that repeat are copies of each
     other, so they lose all bytes if long enough. An empty table gives an empty result. Columns named like the added
@@ -272,9 +274,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out["n_removed"].append(0)
                     out["n_spans"].append(0)
                 out["n_bytes"].append(size)
-                out["kept"].append(text)
+                out["kept"].append(text.decode("utf-8", "ignore") if as_text else text)
             keep = rows.select([c for c in rows.schema.names if c not in ("text", "spans")])
-            yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array(out[c], type=pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], type=pa.binary())], names=[*keep.schema.names, *out])
+            yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array(out[c], type=pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], type=pa.string() if as_text else pa.binary())], names=[*keep.schema.names, *out])
 
     rid, tag = F.xxhash64(F.col(id_col), F.col(text_col)), F.pmod(F.xxhash64(F.col(text_col), F.lit(7), F.col(id_col)), F.lit(32768)).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -285,5 +287,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(*rest, text.alias("text"), rid.alias("rid"), tag.alias("tag"))
     joined = rows.join(spans, (F.col("rid") == F.col("s_rid")) & (F.col("tag") == F.col("s_tag")), "left")
     joined = joined.select(*rest, "text", F.coalesce("spans", F.array().cast("array<struct<pos:bigint,mask:binary>>")).alias("spans"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "spans")), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "spans")), f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"])
     return joined.mapInArrow(strip, schema)
