@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -104,7 +105,6 @@ def report(encoded: DataFrame, original: DataFrame) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """The codec for SQL: zstd_compress, zstd_decompress, codec_encode(data, w, h, kind, quality, bw), codec_decode(container, postfilter), and the table function codec_segments(payload)."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("binary")

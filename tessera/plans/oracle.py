@@ -129,13 +129,13 @@ def junctions(source: str, small: int, name: str) -> str:
     up = run("U", "", "", "l00", "l10", "pa.x = q.x - 1 AND pa.y = q.y - i", "pb.x = q.x AND pb.y = q.y - i")
     down = run("D", "", "", "l01", "l11", "pa.x = q.x - 1 AND pa.y = q.y - 1 + i", "pb.x = q.x AND pb.y = q.y - 1 + i")
     lerp = lambda a, b, t: f"floor(({a})::DOUBLE * (1 - {t}) + ({b})::DOUBLE * {t} + 0.5)::INT"
-    blend = ", ".join(f"{lerp(lerp(f'{c}00', f'{c}10', 'u'), lerp(f'{c}01', f'{c}11', 'u'), 'v')} AS {c}" for c in "rgb")
+    blend = ", ".join(f"{lerp(lerp(f'{c}00', f'{c}10', 'across'), lerp(f'{c}01', f'{c}11', 'across'), 'down')} AS {c}" for c in "rgb")
     return f"""corners AS (SELECT * FROM (SELECT j.x, j.y, {cols} FROM (SELECT x, y FROM {source} WHERE x > 0 AND y > 0 AND x % {small} = 0 AND y % {small} = 0) j {corners})
   WHERE greatest(l00, l10, l01, l11) - least(l00, l10, l01, l11) <= 32),
 {left}, {right}, {up}, {down},
 rects AS (SELECT q.*, L, R, U, D FROM corners q JOIN runL ON runL.rx = q.x AND runL.ry = q.y JOIN runR ON runR.rx = q.x AND runR.ry = q.y JOIN runU ON runU.rx = q.x AND runU.ry = q.y JOIN runD ON runD.rx = q.x AND runD.ry = q.y),
 drawn AS (SELECT px_ AS x, py_ AS y, jx, jy, {blend} FROM (
-  SELECT *, (px_ - (jx - L))::DOUBLE / (L + R - 1) AS u, (py_ - (jy - U))::DOUBLE / (U + D - 1) AS v FROM (
+  SELECT *, (px_ - (jx - L))::DOUBLE / (L + R - 1) AS across, (py_ - (jy - U))::DOUBLE / (U + D - 1) AS down FROM (
     SELECT *, x AS jx, y AS jy, unnest(range(x - L, x + R)) AS px_ FROM rects) CROSS JOIN LATERAL (SELECT unnest(range(jy - U, jy + D)) AS py_))),
 last AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY jy DESC, jx DESC) = 1),
 {name} AS (SELECT s.img_id, s.x, s.y, coalesce(l.r, s.r)::INT AS r, coalesce(l.g, s.g)::INT AS g, coalesce(l.b, s.b)::INT AS b FROM {source} s LEFT JOIN last l ON l.x = s.x AND l.y = s.y)"""

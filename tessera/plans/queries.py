@@ -16,6 +16,7 @@ from tessera.operators import streams as S
 from tessera.operators.planes import RATIOS, pixels_of, planes_generic16, planes_gray, planes_rgb, subsample, upsample
 from tessera.plans import codec
 from tessera.plans import oracle as O
+from tessera.plans.tables import materialize
 from tessera.sources import pixels as X
 from tessera.sources.images import images_of, images_of_documents
 
@@ -122,7 +123,7 @@ query("delta_roundtrip", f"{O.blocks(O.EVENTS, 60)} SELECT img_id, ch, seq AS i,
 
 _SEGS = ("size", "type", "pattern", "fg", "bg")
 query("segment_lengths", f"{O.segments(O.EVENTS, 70)} SELECT ch, block_count, {', '.join(f'(length({n}_hex) // 2)::BIGINT AS {n}_bytes' for n in _SEGS)} FROM segs")(
-    lambda spark, d: S.segments(event_blocks(spark, d, 70)).select("ch", "block_count", *((F.length(f"{n}_hex") / 2).cast("long").alias(f"{n}_bytes") for n in _SEGS))
+    lambda spark, d: S.segments(materialize(event_blocks(spark, d, 70))).select("ch", "block_count", *((F.length(f"{n}_hex") / 2).cast("long").alias(f"{n}_bytes") for n in _SEGS))
 )
 query("header_hex", "SELECT q::INT AS quality, '424142450A' || printf('%04X%04X07%08X%08X', " + f"{_BAND('q', _SMALL)}, {_BAND('q', _MACRO)}, 65, 50) AS header FROM (VALUES (0), (20), (40), (60), (80)) t(q)")(
     lambda spark, d: spark.createDataFrame([(q,) for q in (0, 20, 40, 60, 80)], "quality int").withColumn("header", F.coalesce(*(F.when(F.col("quality") == q, S.header_hex(*preset(q)[:2], F.lit(65), F.lit(50), False)) for q in (0, 20, 40, 60, 80))))
@@ -131,7 +132,7 @@ query("header_hex", "SELECT q::INT AS quality, '424142450A' || printf('%04X%04X0
 
 def picture_payload(pixels: DataFrame, quality: int, w: int, h: int) -> DataFrame:
     sizes = pixels.sparkSession.createDataFrame([(0, w, h)], "img_id long, w int, h int")
-    return S.payloads(picture_blocks(pixels, quality), sizes, *preset(quality)[:2])
+    return S.payloads(materialize(picture_blocks(pixels, quality)), sizes, *preset(quality)[:2])
 
 
 for _q in (0, 20, 40, 60, 70, 80, 100):
@@ -168,7 +169,7 @@ def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_planes(spark: SparkSession, pixels: DataFrame, quality: int, w: int, h: int) -> DataFrame:
     """Encode to streams, and from the streams back to planes."""
-    s = S.segments(picture_blocks(pixels, quality))
+    s = materialize(S.segments(materialize(picture_blocks(pixels, quality))))
     return D.planes_of(D.blocks_of(s, w, h, *preset(quality)[:2]))
 
 
@@ -222,7 +223,8 @@ for _q in (0, 20, 40):
 
     def _post(spark: SparkSession, sf_dir: str, q: int = _q) -> DataFrame:
         s = preset(q)[0]
-        return P.postfilter(decoded(spark, X.smooth(spark, 65, 50), q, 65, 50), s, 65, 50)
+        p = materialize(decoded(spark, X.smooth(spark, 65, 50), q, 65, 50))
+        return P.junctions(materialize(P.deblock(p, s, 65, 50)), s, 65, 50)
 
     _s = preset(_q)[0]
     query(f"postfilter_q{_q}", f"{O.blocks(O.SMOOTH.format(w=65, h=50), _q)}, {O.pixels()}, {O.deblock('rgb', _s, 'x', 'f1')}, {O.deblock('f1', _s, 'y', 'f2')}, {O.junctions('f2', _s, 'f3')} SELECT {RGB} FROM f3")(_post)
@@ -251,5 +253,5 @@ def decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events picture to segments: a summary row a channel."""
-    s = S.segments(event_blocks(spark, sf_dir, 70))
+    s = S.segments(materialize(event_blocks(spark, sf_dir, 70)))
     return s.select("ch", "block_count", (F.length("segment_hex") / 2).cast("long").alias("segment_bytes"), F.sha2("segment_hex", 256).alias("digest"))
