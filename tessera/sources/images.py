@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def jfif(rgb: np.ndarray) -> np.ndarray:
 
 
 def _png(w: str, h: str, data: str, channel: int | None = None):
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def f(w: pd.Series, h: pd.Series, data: pd.Series) -> pd.Series:
         out = []
