@@ -115,14 +115,24 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def _cover(text: str, start: int, covered: np.ndarray) -> str:
-    """What is left of a block at byte ``start`` of the stream: words without a covered byte."""
-    kept, at = [], start
+def _cover(text: str, start: int, covered: np.ndarray, length: int) -> str:
+    """What is left of a block at byte ``start`` of the stream: the words outside covered runs.
+
+    A run counts if it is a whole block or ``length`` bytes long within it: a repeat that ends in a block's first words
+    is another block's.
+    """
+    size = len(text.encode())
+    mask = covered[start : start + size].astype(np.int8)
+    edge = np.flatnonzero(np.diff(mask, prepend=0, append=0))
+    for a, z in edge.reshape(-1, 2).tolist():
+        if z - a < min(length, size):
+            mask[a:z] = 0
+    kept, at = [], 0
     for w in text.split(" "):
-        size = len(w.encode())
-        if not covered[at : at + size].any():
+        n = len(w.encode())
+        if not mask[at : at + n].any():
             kept.append(w)
-        at += size + 1
+        at += n + 1
     return " ".join(kept)
 
 
@@ -162,7 +172,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     if k == MAIN:
                         kept.append(t)
                         continue
-                    if k == UNDECIDED and (rest := _cover(t, at, covered)):
+                    if k == UNDECIDED and (rest := _cover(t, at, covered, length)):
                         kept.append(rest)
                     at += len(t.encode()) + 1
                 out.append(" ".join(kept))
