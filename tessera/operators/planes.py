@@ -22,6 +22,12 @@ def planes_rgb(pixels: DataFrame, bw: bool = False) -> DataFrame:
     return _long(pixels, *ycbcr(F.col("r"), F.col("g"), F.col("b")), gray=bw)
 
 
+def to_rgba(pixels: DataFrame) -> DataFrame:
+    """Any pixel relation as (img_id, x, y, r, g, b, a), opaque."""
+    c = ("r", "g", "b") if "r" in pixels.columns else ("v", "v", "v")
+    return pixels.select("img_id", "x", "y", *(F.col(n).alias(t) for n, t in zip(c, "rgb", strict=True)), F.lit(255).alias("a"))
+
+
 def planes_gray(pixels: DataFrame, bw: bool = False) -> DataFrame:
     return _long(pixels, F.col("v"), F.lit(128), F.lit(128), gray=bw)
 

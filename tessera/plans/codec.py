@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.presets import clamp
+from tessera.operators.planes import RATIOS
 from tessera.plans import kernel
 
 CHANNELS = {"rgb": 3, "gray": 1, "rgba": 4, "nrgba": 4}
+#: All kinds of image data.
+KINDS = {*CHANNELS, "rgba16", *(f"ycbcr{r}" for r in RATIOS)}
 QUALITY = 70
 
 
@@ -33,9 +36,28 @@ def decompress(data: bytes, most: int = 1 << 30) -> bytes:
 
 
 def planes_of(data: bytes, w: int, h: int, kind: str, bw: bool) -> list[np.ndarray]:
-    n = CHANNELS[kind]
+    """The planes of one image. kind: rgb, rgba and nrgba (alpha ignored), gray, rgba16 (big-endian straight 16-bit
+    samples, premultiplied and cut to 8 bits), or ycbcr and a ratio (whole Y, then Cb and Cr at the ratio)."""
     px = np.frombuffer(data, dtype=np.uint8)
-    if len(px) != w * h * n or w <= 0 or h <= 0:
+    if w <= 0 or h <= 0:
+        raise kernel.CodecError("data don't fit the size")
+    if kind.startswith("ycbcr"):
+        fx, fy = RATIOS[kind.removeprefix("ycbcr")]
+        cw, ch = -(-w // fx), -(-h // fy)
+        if len(px) != w * h + 2 * cw * ch:
+            raise kernel.CodecError("data don't fit the size")
+        out = [px[: w * h].reshape(h, w)]
+        for k in range(0 if bw else 2):
+            at = w * h + k * cw * ch
+            out.append(px[at : at + cw * ch].reshape(ch, cw)[np.arange(h)[:, None] // fy, np.arange(w)[None, :] // fx])
+        return [p.astype(np.int32) for p in out]
+    if kind == "rgba16":
+        if len(px) != w * h * 8:
+            raise kernel.CodecError("data don't fit the size")
+        wide = px.view(">u2").reshape(h, w, 4).astype(np.int64)
+        return kernel.planes(wide[..., :3] * wide[..., 3:] // 65535 >> 8, bw)
+    n = CHANNELS[kind]
+    if len(px) != w * h * n:
         raise kernel.CodecError("data don't fit the size")
     px = px.reshape(h, w, n)
     if kind == "gray":
@@ -59,7 +81,7 @@ def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_pay
             for img, w, h, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload, error = None, None
                 try:
-                    if data is None or w is None or h is None or kind not in CHANNELS:
+                    if data is None or w is None or h is None or kind not in KINDS:
                         raise kernel.CodecError("no image")
                     payload = kernel.encode(planes_of(data, w, h, kind, bw), q)
                 except kernel.CodecError as e:

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.color import full_range_ycbcr
+from tessera.functions.color import full_range_ycbcr, luma
 from tessera.functions.presets import preset, preset_columns, presets
 from tessera.operators import blocks as B
 from tessera.operators import decode as D
 from tessera.operators import postfilter as P
 from tessera.operators import streams as S
-from tessera.operators.planes import RATIOS, pixels_of, planes_generic16, planes_gray, planes_rgb, subsample, upsample
+from tessera.operators.planes import RATIOS, pixels_of, planes_generic16, planes_gray, planes_rgb, subsample, to_rgba, upsample
 from tessera.plans import codec
 from tessera.plans import oracle as O
 from tessera.plans.tables import materialize
@@ -89,6 +89,9 @@ query("planes_rgb", f"WITH {O.planes(O.EVENTS)} SELECT img_id, ch, x, y, v::INT
 query("planes_bw", f"WITH {O.planes(O.EVENTS, True)} SELECT img_id, ch, x, y, v::INT AS v FROM planes")(lambda spark, d: planes_rgb(X.events(spark, d), bw=True))
 query("planes_gray", f"SELECT img_id, ch::INT AS ch, x, y, (CASE WHEN ch = 0 THEN v ELSE 128 END)::INT AS v FROM ({O.EMBEDDINGS}), range(3) t(ch)")(lambda spark, d: planes_gray(X.embeddings(spark, d)))
 
+query("rgba_embeddings", f"SELECT img_id, x, y, v AS r, v AS g, v AS b, 255::INT AS a FROM ({O.EMBEDDINGS})")(lambda spark, d: to_rgba(X.embeddings(spark, d)))
+query("luma_events", f"SELECT img_id, x, y, {O.luma()}::INT AS l FROM ({O.EVENTS})")(lambda spark, d: X.events(spark, d).select("img_id", "x", "y", luma(F.col("r"), F.col("g"), F.col("b")).alias("l")))
+
 _P16 = "(({c}::BIGINT * 257 * a // 65535) >> 8)::INT"
 
 
@@ -153,6 +156,20 @@ def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("img_id", "w", "h", "raw_size", F.length("compressed").cast("long").alias("size"), "error")
 
 
+@query("encode_report")
+def encode_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and ratio of the events picture and the embeddings picture at four qualities."""
+    parts = []
+    for name, px in (("events", X.events(spark, sf_dir)), ("embeddings", X.embeddings(spark, sf_dir))):
+        images = materialize(images_of(px))
+        original = images.select("img_id", F.length("data").cast("long").alias("in_size"))
+        parts += [codec.report(codec.encode(images, q), original).select(F.lit(name).alias("picture"), F.lit(q).alias("quality"), "in_size", "out_size", "ratio", "size_text") for q in (20, 40, 60, 80)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("encode_too_small", "SELECT doc_id AS img_id, (length(text) // 32)::INT AS h FROM documents WHERE length(text) // 32 < 4")
 def encode_too_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error rows of encoding all texts at quality 0."""

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests_pictures import synthetic
+from tessera.operators.planes import RATIOS
 from tessera.plans import codec
 from tessera.plans import kernel as K
 from tessera.plans.queries import picture_payload
@@ -30,6 +31,19 @@ def test_error_rows(spark):
     assert codec.encode(bad.limit(0)).count() == 0
 
 
+def test_kinds():
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 256, (5, 7), dtype=np.uint8)
+    for ratio, (fx, fy) in RATIOS.items():
+        c = rng.integers(0, 256, (2, -(-5 // fy), -(-7 // fx)), dtype=np.uint8)
+        got = codec.planes_of(y.tobytes() + c.tobytes(), 7, 5, f"ycbcr{ratio}", False)
+        assert (got[0] == y).all() and all(got[1 + k][j, i] == c[k, j // fy, i // fx] for k in range(2) for j in range(5) for i in range(7))
+    wide = rng.integers(0, 65536, (5, 7, 4)).astype(">u2")
+    cut = (wide[..., :3].astype(np.int64) * wide[..., 3:] // 65535) >> 8
+    assert all((a == b).all() for a, b in zip(codec.planes_of(wide.tobytes(), 7, 5, "rgba16", False), K.planes(cut), strict=True))
+    assert len(codec.planes_of(y.tobytes(), 7, 5, "gray", True)) == 1
+
+
 def test_files(spark, tmp_path):
     pictures, containers, out = tmp_path / "p", tmp_path / "c", tmp_path / "o"
     pictures.mkdir()
