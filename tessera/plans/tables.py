@@ -1,4 +1,4 @@
-"""Written tables: where a plan would otherwise be computed several times."""
+"""Written tables: where a plan would otherwise be computed several times, or its lineage grow."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where that is unset."""
@@ -16,7 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table into the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote. Results that still read them must have been written or collected."""
+    jvm = spark.sparkContext._jvm
+    for path in _written:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
