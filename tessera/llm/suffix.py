@@ -202,7 +202,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
     found = docs.mapInArrow(find, "anchor long, run long, rid long, tag int, pos long")
     several_rows = F.min("rid") != F.max("rid") if across else F.count(F.lit(1)) > 1
     twice = found.groupBy("anchor").agg(several_rows.alias("many"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("many")
-    twice = twice.select(F.col("anchor").alias("t_anchor"), (F.col("lo") != F.col("hi")).alias("several"))
+    # written first: a join of two plain exchanges is one whose crowded anchors Spark can split
+    twice = materialize(twice.select(F.col("anchor").alias("t_anchor"), (F.col("lo") != F.col("hi")).alias("several")), "anchors")
     seen = materialize(found.join(twice, F.col("anchor") == F.col("t_anchor")).drop("t_anchor"), "runs")
     alone = seen.where("not several").select("rid", "tag", "pos", F.lit(None).cast("binary").alias("mask"))
     several = seen.where("several").drop("several")
