@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CODES, prefix_hash, span_hash, text_pieces
+from tessera.llm.common import CODES, materialize, mix64, prefix_hash, span_hash, text_pieces
 
 #: Labelled rows that a model is fitted on, at most; rows are chosen by hash.
 SAMPLE_ROWS = 20_000
@@ -26,7 +26,8 @@ LEXICON = 2000
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that the lexicon may hold beside whole words.
 BEGINNINGS = (5, 6, 7)
-MIN_G2 = 12.0
+#: Evidence that a lexicon entry needs: a word of five labelled texts and no other has about 20.
+MIN_G2 = 20.0
 FEATURES = 8
 
 # Closed word classes of the grammar, by language (en, de, fr, es).
@@ -239,23 +240,54 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> n
     w = np.zeros(x.shape[1])
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+    penalty[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum())
+
+    at = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (y - p) - penalty * w
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
-        w = w + step
+        # labels that a feature separates would carry a whole step too far
+        while (new := loss(w + step)) > at and np.abs(step).max() > 1e-10:
+            step /= 2
+        w, at = w + step, new
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The three smallest hashes, under three orders, of each text's three-word shingles."""
+    for batch, data, off in text_pieces(batches, "text"):
+        data = fold(data)
+        starts, ends, text = letters_words(data, off) if len(data) else (np.zeros(0, dtype=np.int64),) * 3
+        low = np.full((batch.num_rows, 3), np.uint64(2**64 - 1))
+        if len(starts) > 2:
+            h = span_hash(prefix_hash(CODES[data]), starts, ends)
+            s = h[:-2] + h[1:-1] * CODES[1] + h[2:] * CODES[2]
+            at = np.flatnonzero(text[:-2] == text[2:])
+            for j in range(3):
+                np.minimum.at(low[:, j], text[at], mix64(s[at] ^ CODES[10 + j]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(low[:, j].view(np.int64)) for j in range(3))], names=["doc_id", "m0", "m1", "m2"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[int, float], np.ndarray]:
     """Lexicon and model from at most ``sample_rows`` rows of ``labels`` (doc_id, toxic), chosen by hash."""
     chosen = labels.where("toxic is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
     # at most sample_rows rows of three numbers: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "fold", "text")
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "fold", "text"), "labelled")
+    # copies and near copies would make words of one text look like a pattern: of texts that share a smallest shingle one is used
+    marks = sample.select("doc_id", "text").mapInArrow(sketches, "doc_id long, m0 long, m1 long, m2 long").toPandas().sort_values(["doc_id", "m0"])
+    copy = np.zeros(len(marks), dtype=bool)
+    for m in ("m0", "m1", "m2"):
+        copy |= marks[m].duplicated().to_numpy() & (marks[m] != -1).to_numpy()
+    kept = marks.doc_id[~copy].drop_duplicates().tolist()
+    rows = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in kept], "doc_id long")), "doc_id").select("toxic", "fold", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = [], []
