@@ -24,8 +24,8 @@ EVIDENCE = 40.0
 #: Documents that a parent's prior counts for, and pseudo-counts of the tables.
 STRENGTH = 10.0
 SMOOTH = 1.0
-#: Posterior below which a document is rejected.
-CONFIDENCE = 0.6
+#: Posterior below which a document is rejected: no language has the larger half.
+CONFIDENCE = 0.5
 #: Share of the declared documents that a language needs to be a class; bounds the classes at 1 / LEAST_SHARE.
 LEAST_SHARE = 0.001
 #: Hosts up to which their priors are broadcast; more are joined by shuffle.
