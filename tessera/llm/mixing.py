@@ -59,8 +59,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = materialize(rows.withColumn("class", size_class(F.col("size"))).withColumn("salt", salt), "sizes")
     cell = rows.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     goal = targets(cell.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
-    within = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = cell.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("salt").alias("c_salt"), F.coalesce(F.sum("n").over(within), F.lit(0)).alias("ahead"))
+    # what stands ahead of a cell: the smaller classes of its source, and the smaller salts of its class
+    by_class = cell.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
+    by_class = by_class.select(F.col("source").alias("b_source"), F.col("class").alias("b_class"), F.coalesce(below, F.lit(0)).alias("below"))
+    beside = F.sum("n").over(Window.partitionBy("source", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = cell.withColumn("beside", F.coalesce(beside, F.lit(0))).join(by_class, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")))
+    ahead = ahead.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("salt").alias("c_salt"), (F.col("below") + F.col("beside")).alias("ahead"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.select(F.col("source").alias("g_source"), "source_size", "target", rate.alias("rate"), offset.alias("offset"))
