@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.presets import clamp
 from tessera.operators.planes import RATIOS
 from tessera.plans import kernel
+from tessera.plans.tables import spread
 
 CHANNELS = {"rgb": 3, "gray": 1, "rgba": 4, "nrgba": 4}
 #: All kinds of image data.
@@ -91,7 +92,7 @@ def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_pay
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return images.select(F.col("img_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), "kind", "data").mapInArrow(run, "img_id long, w int, h int, quality int, bw boolean, raw_size long, payload binary, compressed binary, error string")
+    return spread(images.select(F.col("img_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), "kind", "data")).mapInArrow(run, "img_id long, w int, h int, quality int, bw boolean, raw_size long, payload binary, compressed binary, error string")
 
 
 def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
@@ -113,7 +114,7 @@ def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return encoded.select(F.col("img_id").cast("long"), "compressed").mapInArrow(run, "img_id long, w int, h int, data binary, error string")
+    return spread(encoded.select(F.col("img_id").cast("long"), "compressed")).mapInArrow(run, "img_id long, w int, h int, data binary, error string")
 
 
 def report(encoded: DataFrame, original: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than there are: for work that outweighs its bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this process wrote. Results that still read them must have been written or collected."""
     jvm = spark.sparkContext._jvm
