@@ -67,6 +67,13 @@ def planes_of(data: bytes, w: int, h: int, kind: str, bw: bool) -> list[np.ndarr
     return kernel.planes(px[..., :3], bw)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Fewer images at once: results leave before the next are made."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_payload: bool = False) -> DataFrame:
     """(img_id, w, h, quality, bw, raw_size, payload, compressed, error) of images (img_id, w, h, kind, data).
 
@@ -77,7 +84,7 @@ def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_pay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=7)
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in schema.names}
             for img, w, h, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload, error = None, None
@@ -100,7 +107,7 @@ def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
     schema = pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("data", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in schema.names}
             for img, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = (img, None, None, None, "no data")
