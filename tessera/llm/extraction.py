@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import text_pieces
 from tessera.llm.suffix import KMER, repeated_spans
 
 #: Bytes of a repeated substring.
@@ -147,12 +148,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), rid.alias("rid"), tag.alias("tag"), F.xxhash64(host).alias("grp"))
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in text_pieces(batches, "html"):
             texts = ["\n".join(t for k, t in blocks(h) if k != MAIN) for h in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, type=pa.string())], names=["rid", "tag", "grp", "text"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in text_pieces(batches, "html"):
             spans = batch.column(3).to_pylist()
             out, open_ = [], []
             for page, found in zip(batch.column(2).to_pylist(), spans, strict=True):
@@ -186,7 +187,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     decided = rows.select("page_id", "url", "html", none).mapInArrow(texts, out).where("not undecided")
 
     def open_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in text_pieces(batches, "html"):
             keep = pa.array([any(k == UNDECIDED for k, _ in blocks(h)) for h in batch.column(2).to_pylist()], type=pa.bool_())
             yield batch.filter(keep)
 
