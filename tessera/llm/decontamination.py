@@ -2,8 +2,8 @@
 
 Fixed masks over twelve words ignore some positions, so a window still hits where a substituted word falls on an ignored
 one. Windows of the benchmark are hashed under each mask; windows of the documents are hashed alike and looked up. Around
-a hit the item is laid along the document and extended both ways while matches outweigh substitutions; the overlap counts
-if it is long enough and enough of its words agree.
+a hit the item is laid along the document, word by word as far as both go; the overlap is the longest stretch of that
+laying that is long enough and of whose words enough agree.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ MIN_WORDS = 13
 MIN_AGREE = 0.8
 #: Words of benchmark text that are looked up at once; a larger benchmark is taken in several passes.
 BLOCK_WORDS = 2_000_000
-MISMATCH = 2
-DROP = 6
+#: A substitution weighs as much as so many agreeing words: a stretch agrees to MIN_AGREE if its sum isn't negative.
+LOSS = 4
 
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ class Index:
     def overlaps(self, h: np.ndarray, text: np.ndarray) -> dict[int, dict[int, tuple[int, int, int]]]:
         """By text and item number: the longest verified overlap as (words, words that agree, first word within the text)."""
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
-        done: set[tuple[int, int]] = set()
+        done: set[tuple[int, int, int]] = set()
         for k, m in enumerate(self.masks):
             p, s = seeds(h, text, m, k)
             some = np.flatnonzero(self.maybe[(s & np.uint64(0xFFFFF)).astype(np.int64)]) if len(self.keys) else []
@@ -91,34 +91,42 @@ class Index:
                 q = int(p[some[i]])
                 for b in self.at[lo[i] : hi[i]].tolist():
                     shift = q - b
-                    item = int(self.text[b])
-                    if (item, shift) in done:
+                    item, t = int(self.text[b]), int(text[q])
+                    if (item, shift, t) in done:
                         continue
-                    done.add((item, shift))
-                    t = int(text[q])
+                    done.add((item, shift, t))
                     a0, z0 = int(self.first[item]), int(self.first[item + 1])
                     d0, d1 = int(np.searchsorted(text, t)), int(np.searchsorted(text, t, side="right"))
                     lo_, hi_ = max(a0, d0 - shift), min(z0, d1 - shift)
                     same = self.h[lo_:hi_] == h[lo_ + shift : hi_ + shift]
-                    a, z = extend(same, b - lo_, min(b - lo_ + len(m), len(same)))
-                    words, agree = z - a, int(same[a:z].sum())
-                    if words >= min(self.min_words, z0 - a0) and agree >= MIN_AGREE * words:
+                    span = longest(same, min(self.min_words, z0 - a0))
+                    if span:
+                        a, z = span
+                        words, agree = z - a, int(same[a:z].sum())
                         best = found.setdefault(t, {})
                         if item not in best or (words, agree) > best[item][:2]:
                             best[item] = (words, agree, lo_ + shift + a - d0)
         return found
 
 
-def extend(same: np.ndarray, a: int, z: int) -> tuple[int, int]:
-    """The span around [a, z) that gains a point for each agreement and loses MISMATCH for each substitution, given up after DROP."""
-    ends = []
-    for steps in (same[z:], same[:a][::-1]):
-        score = np.cumsum(np.where(steps, 1, -MISMATCH))
-        if len(score):
-            gone = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
-            score = score[: gone[0]] if len(gone) else score
-        ends.append(int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0)
-    return a - ends[1], z + ends[0]
+def longest(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The longest span of at least ``least`` words that agrees to MIN_AGREE and begins and ends with words that agree.
+
+    If only spans with substituted ends are long enough, the ``least`` words that agree most; None if there are none.
+    """
+    if len(same) < least or not same.any():
+        return None
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -LOSS))])
+    ends = np.flatnonzero(same) + 1
+    # the least score before any start so far falls, so the first start that an end can reach is found by bisection
+    low = np.minimum.accumulate(np.where(same, score[:-1], len(same) + 1))
+    starts = np.searchsorted(-low, -score[ends])
+    k = np.lexsort((score[ends] - score[starts], ends - starts))[-1]
+    if ends[k] - starts[k] >= least:
+        return int(starts[k]), int(ends[k])
+    gains = score[least:] - score[:-least]
+    k = int(gains.argmax())
+    return (k, k + least) if gains[k] >= 0 else None
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

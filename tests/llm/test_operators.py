@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, ngram, suffix, toxicity, urls
-from tessera.llm.decontamination import find_overlaps
+from tessera.llm.decontamination import Index, find_overlaps, longest
 from tessera.llm.extraction import blocks, extract_text
 from tessera.llm.knn import voronoi_knn
 from tessera.llm.mixing import mix
@@ -246,6 +246,33 @@ def test_decontamination(spark, docs, none):
     assert find_overlaps(docs, bench.limit(0)).where("size(overlaps) > 0").count() == 0
 
 
+def test_overlap_is_the_longest_stretch():
+    rng = np.random.default_rng(3)
+    for n, p in [(n, p) for n in (12, 13, 20, 60) for p in (0.6, 0.75, 0.85) for _ in range(30)]:
+        same = rng.random(n) < p
+        fits = [(z - a, int(same[a:z].sum()), a) for a in range(n) for z in range(a + 13, n + 1) if 5 * same[a:z].sum() >= 4 * (z - a)]
+        ends = [f for f in fits if same[f[2]] and same[f[2] + f[0] - 1]]
+        want = max(f[:2] for f in ends) if ends else max((f[:2] for f in fits if f[0] == 13), default=None)
+        got = longest(same, 13)
+        assert (got and (got[1] - got[0], int(same[got[0] : got[1]].sum()))) == want
+
+
+def test_decontamination_searches_the_whole_diagonal(spark):
+    item = [f"w{k}" for k in range(200)]
+    # a stretch that a mask hits but too few words of agree, then changed words, then an exact passage
+    poor = [w if k not in (3, 6, 8) else "zz" for k, w in enumerate(item[:12])] + ["zz"] * 20 + item[32:92]
+    # an exact passage before a long stretch of which 70 % agrees
+    mixed = item[:60] + [w if k % 10 not in (2, 5, 8) else "zz" for k, w in enumerate(item[60:])]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(poor)), (2, " ".join(mixed))], "doc_id long, text string")
+    got = {r.doc_id: r.overlaps for r in find_overlaps(df, bench).collect()}
+    assert got[1][0].words >= 60 and got[1][0].agree >= 60
+    assert got[2][0].words >= 60 and got[2][0].agree >= 0.8 * got[2][0].words and got[2][0].first_word == 0
+    # one shift may run through two texts: the first is too short, the second overlaps
+    index = Index([(1, " ".join(item[:60]))])
+    assert index.overlaps(index.h, (np.arange(60) >= 12).astype(np.int64)) == {1: {0: (48, 48, 0)}}
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(11)
     data, labels = [], []
