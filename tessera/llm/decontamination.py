@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over twelve words ignore some positions, so a window still hits where a substituted word falls on an ignored
-one. Windows of the benchmark are hashed under each mask; windows of the documents are hashed alike and looked up. Around
+Fixed masks of at most twelve words ignore some positions, so a window still hits where a substituted word falls on an
+ignored one; together they hit every overlap, whichever of its words are substituted. Windows of the benchmark are hashed under each mask; windows of the documents are hashed alike and looked up. Around
 a hit the item is laid along the document, word by word as far as both go; the overlap is the longest stretch of that
 laying that is long enough and of whose words enough agree.
 """
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import CODES, mix64, prefix_hash, span_hash, text_pieces
 from tessera.llm.toxicity import fold, letters_words
 
-#: The seeds, a 1 for each word that counts.
-MASKS = ("111011010111", "110110111011", "101111001111", "111100111101")
+#: The seeds, a 1 for each word that counts. Some mask fits wherever 2 of 12, 3 of 15, 4 of 20 or 5 of 25 words
+#: are substituted, so in all overlaps of 13 to 25 words; a longer overlap has such a part that agrees to MIN_AGREE.
+MASKS = ("11110111", "1100101111", "11011001011", "1111111", "110100101011", "11100010111", "111010100011")
+#: Items of fewer words match whole and word for word.
+SPAN = max(map(len, MASKS))
 MIN_WORDS = 13
 MIN_AGREE = 0.8
 #: Words of benchmark text that are looked up at once; a larger benchmark is taken in several passes.
@@ -60,14 +63,13 @@ class Index:
         self.first = np.searchsorted(text, np.arange(len(items) + 1))
         self.text = text
         size = np.diff(self.first)
-        # items shorter than a mask match as a whole
-        self.masks = [*MASKS, *("1" * int(n) for n in sorted(set(size[(size > 0) & (size < len(MASKS[0]))].tolist())))]
+        # items shorter than the longest mask match as a whole
+        self.masks = [*MASKS, *("1" * int(n) for n in sorted(set(size[(size > 0) & (size < SPAN)].tolist())))]
         keys, at = [], []
         for k, m in enumerate(self.masks):
             p, s = seeds(self.h, text, m, k)
-            if k >= len(MASKS):
-                whole = size[text[p]] == len(m)
-                p, s = p[whole], s[whole]
+            fit = size[text[p]] == len(m) if k >= len(MASKS) else size[text[p]] >= SPAN
+            p, s = p[fit], s[fit]
             keys.append(s)
             at.append(p)
         key, pos = np.concatenate(keys), np.concatenate(at)
@@ -134,7 +136,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The benchmark is read in blocks of bounded size, each looked up in all documents, so its size sets the number of
     passes and never a task's memory. Null and empty texts (or items) overlap nothing; items shorter than MIN_WORDS must
-    be met whole. Rows that repeat get the same overlaps. A null item_id is reported as null. Empty tables give no
+    be met whole, those shorter than SPAN word for word. Rows that repeat get the same overlaps. A null item_id is reported as null. Empty tables give no
     overlaps or no rows. A column of ``docs`` named overlaps is replaced.
     """
     rest = [c for c in docs.columns if c != "overlaps"]

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, ngram, suffix, toxicity, urls
-from tessera.llm.decontamination import Index, find_overlaps, longest
+from tessera.llm.decontamination import MASKS, Index, find_overlaps, longest
 from tessera.llm.extraction import blocks, extract_text
 from tessera.llm.knn import voronoi_knn
 from tessera.llm.mixing import mix
@@ -273,6 +274,23 @@ def test_decontamination_searches_the_whole_diagonal(spark):
     assert index.overlaps(index.h, (np.arange(60) >= 12).astype(np.int64)) == {1: {0: (48, 48, 0)}}
 
 
+def test_masks_hit_every_overlap():
+    for n in range(12, 26):
+        bad = np.array([sum(1 << k for k in c) for c in combinations(range(n), n // 5)])
+        hit = np.zeros(len(bad), dtype=bool)
+        for m in MASKS:
+            for at in range(n - len(m) + 1):
+                hit |= bad & int(m[::-1], 2) << at == 0
+        assert hit.all()
+    item = [f"w{k}" for k in range(13)]
+    index = Index([(1, " ".join(item)), (2, "one two three four five six seven eight nine ten")])
+    for c in combinations(range(13), 2):
+        other = Index([(1, " ".join("zz" if k in c else w for k, w in enumerate(item)))])
+        assert index.overlaps(other.h, other.text) == {0: {0: (13, 11, 0)}}
+    short = Index([(1, "a b one two three four five six seven eight nine ten"), (2, "a b one two three four five six seven eight nine zz")])
+    assert index.overlaps(short.h, short.text) == {0: {1: (10, 10, 2)}}
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(11)
     data, labels = [], []
