@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
-Language ID drops documents that it rejects; SimHash keeps the smallest doc_id of each group; suffix-array dedup cuts
+Language ID drops documents that it rejects; SimHash keeps a row of the smallest doc_id of each group; suffix-array dedup cuts
 strings of 200 bytes that stand more than once; decontamination drops documents that overlap a benchmark item; mixing
 says how often each document is taken. All stages but the last return the columns of documents.
 """
@@ -12,11 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import materialize, shared_dir
 from tessera.llm.decontamination import find_overlaps
 from tessera.llm.langid import identify_documents
 from tessera.llm.mixing import mix
-from tessera.llm.simhash import simhash_groups
+from tessera.llm.simhash import representatives
 from tessera.llm.suffix import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,12 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash group. Rows of one doc_id are one document: one of them stays."""
-    groups = simhash_groups(docs)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if twice else rows
+    """One row of each SimHash group: the smallest doc_id, nulls last, then the smallest hash of the row.
+
+    Rows are told apart by their contents, so a doc_id that is null or stands on several texts decides nothing for other groups.
+    """
+    # the hash skips nulls, so it is told which columns are null
+    mark = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+    keep = materialize(representatives(docs.select(*COLUMNS), mark), "kept")
+    k = keep.select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    rows = docs.select(*COLUMNS, mark.alias("mark")).join(k, (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    twice = keep.where("n > 1").limit(1).count()
+    return (rows.dropDuplicates(["doc_id", "mark"]) if twice else rows).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

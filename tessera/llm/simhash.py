@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, keyed_groups, materialize, mix64, partitions, text_pieces
@@ -53,15 +53,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; null and empty texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp long) of every row, and with ``mark`` (a long) that as a third column; null and empty texts get 0."""
+    more = [] if mark is None else [mark.alias("mark")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in text_pieces(batches, "text"):
             fps = np.array([fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(off[:-1], off[1:], strict=True)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *rows.columns[2:]], names=["doc_id", "fp", "mark"][: rows.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", mark long" * len(more))
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -168,3 +169,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, mark: Column, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, mark, n) of one row of each component: the smallest doc_id, nulls last, then the smallest ``mark``.
+
+    ``mark`` is a long that tells rows of one doc_id apart; n is how many rows have that doc_id and mark.
+    """
+    fps = fingerprints(docs, id_col, text_col, shingle, mark).groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "n")).alias("row")
+    distinct = materialize(fps.groupBy("fp").agg(first), "fps")
+    roots = connected_components(links(distinct))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("row", F.coalesce("root", "fp").alias("root"))
+    return named.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.mark", "row.n")

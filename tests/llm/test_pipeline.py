@@ -26,6 +26,17 @@ def test_stages(spark):
     assert hit.count() > 0
 
 
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    words = [[f"{c}{k}" for k in range(60)] for c in "abcdef"]
+    texts = [" ".join(w) for w in words]
+    # null ids on different texts, one of them twice; one id on two texts, one of them in another's group
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (2, texts[3]), (2, texts[4]), (3, texts[5]), (3, texts[5])]
+    docs = spark.createDataFrame([(i, t, None, "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted((r.text, r.doc_id) for r in P.near_dedup(spark, docs, SF).collect())
+    assert got == sorted([(texts[0], None), (texts[1], None), (texts[2], None), (texts[3], 1), (texts[4], 2), (texts[5], 3)])
+    assert P.near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "copies", "taken"] and out.count() > 100
