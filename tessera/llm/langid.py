@@ -26,8 +26,8 @@ STRENGTH = 10.0
 SMOOTH = 1.0
 #: Posterior below which a document is rejected: no language has the larger half.
 CONFIDENCE = 0.5
-#: Share of the declared documents that a language needs to be a class; bounds the classes at 1 / LEAST_SHARE.
-LEAST_SHARE = 0.001
+#: Rows by languages that are scored at once.
+CELLS = 1 << 22
 #: Hosts up to which their priors are broadcast; more are joined by shuffle.
 BROADCAST_HOSTS = 5000
 _PREFIX = "_lid_"
@@ -64,6 +64,14 @@ def _log_likelihoods(data: np.ndarray, off: np.ndarray, model: np.ndarray) -> tu
     return out * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None], n
 
 
+def _slices(batches: Iterator[pa.RecordBatch], n_langs: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most CELLS / n_langs rows."""
+    step = max(1, CELLS // n_langs)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def suffix_of(url: Column) -> Column:
     """The language that an address states: a two-letter first path segment, else the last label of the host."""
     path = F.regexp_extract(url, r"(?i)^[^:]*://[^/?#]*/([a-z]{2})(?:[/?#-]|$)", 1)
@@ -74,95 +82,103 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     """All rows and columns of ``docs``, and language, posterior, text_language, accepted.
 
     ``train`` (text, declared) has the texts that the trigram models are counted on; by default ``docs`` with its declared
-    languages. A row is accepted if its text has a trigram and the best language's posterior reaches ``confidence``.
+    languages. Every declared language with a trigram in its texts is a class, however few they are; declarations that
+    differ in case or outer spaces are one, named as most of its documents write it, and blank ones are none. A row is accepted if its text has a trigram and the best language's posterior reaches ``confidence``.
     Null or empty texts are carried by the other evidence and not accepted; null declared languages, suffixes and hosts
     are no evidence. Without any declared language there is no class: language is null and nothing is accepted. Rows that
     repeat count and score as rows of their own. Columns of ``docs`` named like the added ones are replaced.
     """
     if train is None:
         train = docs.select(text.alias("text"), declared.alias("declared"))
-    train = train.where("declared is not null")
-    names = train.groupBy("declared").count()
-    total = names.agg(F.sum("count")).first()[0] or 0
-    langs = [r[0] for r in names.where(F.col("count") >= LEAST_SHARE * total).select("declared").orderBy("declared").collect()]
+    clean = lambda c: F.lower(F.trim(c))
+    train = train.withColumn("written", F.col("declared")).withColumn("declared", clean(F.col("declared"))).where("declared <> ''")
+    # a row for each spelling of each language
+    spellings = train.select("text", "declared", "written").groupBy("declared", "written").agg(F.count("*").alias("n"))
+    name = F.min_by("written", F.struct((-F.col("n")).alias("n"), "written")).alias("name")
+    names = sorted((r.name, r.declared) for r in spellings.groupBy("declared").agg(name).collect())
     rest = [c for c in docs.columns if c not in ("language", "posterior", "text_language", "accepted")]
-    if not langs:
-        none = F.lit(None)
-        return docs.select(*rest, none.cast("string").alias("language"), none.cast("double").alias("posterior"), none.cast("string").alias("text_language"), F.lit(False).alias("accepted"))
-    number = {lang: i for i, lang in enumerate(langs)}
+    number = {key: i for i, (_, key) in enumerate(names)}
+    n_names = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), BINS), dtype=np.int64)
+        sums = np.zeros(n_names * BINS, dtype=np.int64)
         for rows, data, off in text_pieces(batches, "text"):
             lang = np.array([number.get(d, -1) for d in rows.column(1).to_pylist()])
             b, t = _windows(data, off)
             ok = lang[t] >= 0
-            sums += np.bincount(lang[t[ok]] * BINS + b[ok], minlength=len(langs) * BINS).reshape(len(langs), BINS)
-        i, j = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(i * BINS + j), pa.array(sums[i, j])], names=["k", "n"])
+            k, n = np.unique(lang[t[ok]] * BINS + b[ok], return_counts=True)
+            sums[k] += n
+        k = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[k])], names=["k", "n"])
 
     # at most languages * BINS rows
-    counts = train.select("text", "declared").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(len(langs) * BINS)
-    table[counts.k.to_numpy()] = counts.n.to_numpy()
-    table = table.reshape(len(langs), BINS) + 0.5
+    counts = train.select("text", "declared").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas() if names else None
+    table = np.zeros(n_names * BINS)
+    if names:
+        table[counts.k.to_numpy()] = counts.n.to_numpy()
+    table = table.reshape(n_names, BINS)
+    some = np.flatnonzero(table.any(axis=1))
+    langs, keys = [names[i][0] for i in some], [names[i][1] for i in some]
+    if not langs:
+        none = F.lit(None)
+        return docs.select(*rest, none.cast("string").alias("language"), none.cast("double").alias("posterior"), none.cast("string").alias("text_language"), F.lit(False).alias("accepted"))
+    table = table[some] + 0.5
     model = np.log(table / table.sum(axis=1, keepdims=True))
-    clean = lambda c: F.lower(F.trim(c))
+    n_langs = len(langs)
+    known = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*rest, text.alias(f"{_PREFIX}text"), clean(declared).alias(f"{_PREFIX}declared"), clean(host).alias(f"{_PREFIX}host"), clean(suffix).alias(f"{_PREFIX}suffix"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in text_pieces(batches, f"{_PREFIX}text"):
-            score, n = _log_likelihoods(data, off, model)
+        for rows, data, off in text_pieces(_slices(batches, n_langs), f"{_PREFIX}text"):
+            score, n = _log_likelihoods(data, off, known.value)
             top = np.where(n > 0, score.argmax(axis=1), -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(top)], names=["declared", "host", "suffix", "top"])
 
     seen = inner.select(f"{_PREFIX}declared", f"{_PREFIX}host", f"{_PREFIX}suffix", f"{_PREFIX}text").mapInArrow(best, "declared string, host string, suffix string, top int").where("top >= 0")
     # counts by host and statement: as many rows as there are kinds of them, not documents
     cells = materialize(seen.groupBy("declared", "host", "suffix", "top").count(), "languages")
-    n_langs = len(langs)
 
     corpus = np.zeros(n_langs)
     for r in cells.groupBy("top").agg(F.sum("count").alias("n")).collect():
         corpus[r.top] = r.n
     base = (corpus + SMOOTH) / (corpus.sum() + SMOOTH * n_langs)
 
-    def stated(column: str) -> dict[str, list[float]]:
+    def stated(column: str) -> dict[str, np.ndarray]:
         """log P(statement | language) for the statements that name a class; any other is no evidence."""
-        out = {lang: np.full(n_langs, SMOOTH) for lang in langs}
-        for r in cells.where(F.col(column).isin([lang.lower() for lang in langs])).groupBy(column, "top").agg(F.sum("count").alias("n")).collect():
-            out[next(lang for lang in langs if lang.lower() == r[0])][r.top] += r.n
-        m = np.stack([out[lang] for lang in langs])
-        m = m / m.sum(axis=0, keepdims=True)
-        return {lang.lower(): np.log(m[i]).tolist() for i, lang in enumerate(langs)}
-
-    # priors: corpus -> last label -> domain -> host, by grouped counts
-    label = F.substring_index("host", ".", -1)
-    domain = F.substring_index("host", ".", -2)
-    wide = cells.where("host is not null").groupBy("host").agg(*(F.sum(F.when(F.col("top") == i, F.col("count")).otherwise(0)).alias(f"n{i}") for i in range(n_langs)))
-    wide = materialize(wide.withColumn("domain", domain).withColumn("label", label), "hosts")
-    prior = [F.lit(float(x)) for x in base]
-    hosts = wide
-    for level in ("label", "domain", "host"):
-        if level == "host":
-            got = [F.col(f"n{i}") for i in range(n_langs)]
-        else:
-            sums = wide.groupBy(level).agg(*(F.sum(f"n{i}").alias(f"{level}{i}") for i in range(n_langs))).withColumnRenamed(level, f"of_{level}")
-            hosts = hosts.join(sums, F.col(level) == F.col(f"of_{level}")).drop(f"of_{level}")
-            got = [F.col(f"{level}{i}") for i in range(n_langs)]
-        all_ = sum(got[1:], got[0])
-        prior = [(g + STRENGTH * p) / (all_ + STRENGTH) for g, p in zip(got, prior, strict=True)]
-    hosts = materialize(hosts.select(F.col("host").alias(f"{_PREFIX}h"), F.array(*map(F.log, prior)).alias(f"{_PREFIX}prior")), "priors")
+        m = np.full((n_langs, n_langs), SMOOTH)
+        row = {key: i for i, key in enumerate(keys)}
+        for r in cells.where(F.col(column).isin(keys)).groupBy(column, "top").agg(F.sum("count").alias("n")).collect():
+            m[row[r[0]], r.top] += r.n
+        m = np.log(m / m.sum(axis=0, keepdims=True))
+        return {key: m[i] for i, key in enumerate(keys)}
+
+    # priors: corpus -> last label -> domain -> host, by grouped counts; a row's array has an entry for each language
+    hosted = cells.where("host is not null").groupBy("host", "top").agg(F.sum("count").alias("n"))
+
+    def counted(level: str, of: Column) -> DataFrame:
+        per = hosted.groupBy(of.alias(f"of_{level}"), "top").agg(F.sum("n").alias("n"))
+        per = per.groupBy(f"of_{level}").agg(F.map_from_entries(F.collect_list(F.struct("top", "n"))).alias("by"), F.sum("n").alias(f"all_{level}"))
+        got = F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), lambda i: F.coalesce(F.col("by")[i], F.lit(0)))
+        return per.select(f"of_{level}", got.alias(f"n_{level}"), f"all_{level}")
+
+    prior = F.array(*(F.lit(float(x)) for x in base))
+    hosts = materialize(counted("host", F.col("host")), "hosts")
+    for level, of in (("label", F.substring_index("of_host", ".", -1)), ("domain", F.substring_index("of_host", ".", -2)), ("host", None)):
+        if of is not None:
+            hosts = hosts.join(counted(level, F.substring_index("host", ".", -1 if level == "label" else -2)), of == F.col(f"of_{level}"))
+        prior = F.zip_with(f"n_{level}", prior, lambda g, p: (g + STRENGTH * p) / (F.col(f"all_{level}") + STRENGTH))  # noqa: B023
+    hosts = materialize(hosts.select(F.col("of_host").alias(f"{_PREFIX}h"), F.transform(prior, lambda p: F.log(p)).alias(f"{_PREFIX}prior")), "priors")
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     says, suffixes = stated("declared"), stated("suffix")
-    nothing = [0.0] * n_langs
+    nothing = np.zeros(n_langs)
     base_log = np.log(base).tolist()
     joined = inner.join(F.broadcast(hosts) if few else hosts, F.col(f"{_PREFIX}host") == F.col(f"{_PREFIX}h"), "left").drop(f"{_PREFIX}h", f"{_PREFIX}host")
     added = "language string, posterior double, text_language string, accepted boolean"
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), added])
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in text_pieces(batches, f"{_PREFIX}text"):
-            score, n = _log_likelihoods(data, off, model)
+        for rows, data, off in text_pieces(_slices(batches, n_langs), f"{_PREFIX}text"):
+            score, n = _log_likelihoods(data, off, known.value)
             get = lambda c: rows.column(rows.schema.get_field_index(_PREFIX + c)).to_pylist()
             total = score + np.array([p or base_log for p in get("prior")])
             total += np.array([says.get(d, nothing) for d in get("declared")]) + np.array([suffixes.get(d, nothing) for d in get("suffix")])

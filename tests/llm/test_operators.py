@@ -379,3 +379,14 @@ def test_language(spark, none):
     assert got[1003].language == "de" and got[1003].accepted and not got[1000].accepted and not got[1001].accepted and not got[1002].accepted
     assert langid.identify_documents(none).count() == 0
     assert langid.identify_documents(df.withColumn("lang", F.lit(None).cast("string"))).where("accepted").count() == 0
+
+
+def test_rare_languages_are_classes(spark):
+    rng = random.Random(8)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts.split()) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    en, rare = "the of and ing tion that wh th er ou", "\u0127a\u0121 g\u0127 iet ij \u017cz xej jje uq kk"
+    data = [(i, make(en, 8), "en", "s0") for i in range(2600)] + [(5000, make(rare, 40), "mt", "s0"), (5001, make(rare, 40), " MT", "s0"), (5002, make(rare, 40), "mt", None), (5003, make(en, 40), " ", "s0"), (5004, "12", "xx", "s1")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in langid.identify_documents(df).where("doc_id >= 5000 or doc_id < 5").collect()}
+    assert all(got[i].language == got[i].text_language == "mt" and got[i].accepted for i in (5000, 5001, 5002))
+    assert all(got[i].language == "en" and got[i].accepted for i in (0, 1, 2, 3, 4, 5003)) and got[5004].language in ("en", "mt")
