@@ -126,6 +126,40 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+#: Bits of a ``Bitmap`` at most: 16 MB.
+MOST_BITS = 1 << 27
+
+
+class Bitmap:
+    """A Bloom filter with two probes and 32 bits a key, up to MOST_BITS whatever the keys: beyond, it only lets more through."""
+
+    def __init__(self, keys: DataFrame, column: str, count: int):
+        self.size = min(MOST_BITS, 1 << max(16, (32 * count - 1).bit_length() if count else 0))
+        k = F.col(column)
+        probes = F.array(k.bitwiseAND(self.size - 1), F.shiftrightunsigned(k, 32).bitwiseAND(self.size - 1))
+        bits = keys.select(F.explode(probes).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+        got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most MOST_BITS / 64 rows
+        words = np.zeros(self.size // 64, dtype=np.int64)
+        words[got.w.to_numpy(dtype=np.int64)] = got.b.to_numpy(dtype=np.int64)
+        self.bits = words.view(np.uint8)
+        self.flat: np.ndarray | None = None
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key (64 bits) may be one of the bitmap's."""
+        k = keys.view(np.uint64)
+        if self.size <= 1 << 22 and self.flat is None:
+            self.flat = np.unpackbits(self.bits, bitorder="little").view(bool)  # a byte a bit is faster, while it fits a cache
+
+        def probe(p: np.ndarray) -> np.ndarray:
+            p = (p & np.uint64(self.size - 1)).astype(np.int64)
+            return self.flat[p] if self.flat is not None else (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+        out = probe(k)
+        at = np.flatnonzero(out)
+        out[at] = probe(k[at] >> np.uint64(32))
+        return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long); root is the smallest node reachable.
 

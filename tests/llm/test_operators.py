@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, ngram, suffix, toxicity, urls
-from tessera.llm.decontamination import MASKS, Index, find_overlaps, longest
+from tessera.llm.decontamination import MASKS, Document, find_overlaps, longest, word_hashes
 from tessera.llm.extraction import blocks, extract_text
 from tessera.llm.knn import voronoi_knn
 from tessera.llm.mixing import mix
@@ -242,7 +242,7 @@ def test_decontamination(spark, docs, none):
     assert got[12] == got[13] == got[14] == got[900] == [1, 6]
     assert got[901] == [] and got[10] == [] and got[5] == []
     assert got[8] == [5]
-    assert {r.doc_id: sorted({o.item_id for o in r.overlaps}) for r in find_overlaps(more, bench, block_words=10).collect()} == got
+    assert {r.doc_id: sorted({o.item_id for o in r.overlaps}) for r in find_overlaps(more.repartition(7), bench, items_a_row=1).collect()} == got
     assert find_overlaps(none, bench).count() == 0
     assert find_overlaps(docs, bench.limit(0)).where("size(overlaps) > 0").count() == 0
 
@@ -269,9 +269,50 @@ def test_decontamination_searches_the_whole_diagonal(spark):
     got = {r.doc_id: r.overlaps for r in find_overlaps(df, bench).collect()}
     assert got[1][0].words >= 60 and got[1][0].agree >= 60
     assert got[2][0].words >= 60 and got[2][0].agree >= 0.8 * got[2][0].words and got[2][0].first_word == 0
-    # one shift may run through two texts: the first is too short, the second overlaps
-    index = Index([(1, " ".join(item[:60]))])
-    assert index.overlaps(index.h, (np.arange(60) >= 12).astype(np.int64)) == {1: {0: (48, 48, 0)}}
+    # neighbouring texts with an item's halves, a first short hit and then a long one, and many hits at many shifts
+    halves = [" ".join(item[:30]), " ".join(item[30:60])]
+    gap = [*item[:12], *["zz"] * 10, *item[22:60]]
+    bench = spark.createDataFrame([(1, " ".join(item[:60])), (2, "a b " * 40), (None, " ".join(item[:60]))], "item_id long, text string")
+    df = spark.createDataFrame([(1, halves[0]), (2, halves[1]), (3, " ".join(gap)), (4, "b a " * 300), (5, " ".join(gap))], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(o.item_id, o.words, o.agree) for o in r.overlaps] for r in find_overlaps(df, bench).collect()}
+    assert got[1] == got[2] == [(1, 30, 30), (None, 30, 30)] and got[3] == got[5] == [(1, 60, 50), (None, 60, 50)] and got[4] == [(2, 80, 80)]
+
+
+def brute_overlap(doc, item):
+    """Longest overlap over all shifts and spans, by trying each."""
+    least, fits = min(13, len(item)), []
+    for shift in range(-len(item) + 1, len(doc)):
+        a, z = max(0, -shift), min(len(item), len(doc) - shift)
+        same = [item[k] == doc[k + shift] for k in range(a, z)]
+        if len(item) < 12:
+            fits += [(len(item), len(item))] if len(same) == len(item) and all(same) else []
+            continue
+        spans = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i + least, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i) and (j - i == least or same[i] and same[j - 1])]
+        fits += [max(spans)] if spans else []
+    return max(fits, default=None)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    words_ = [f"w{k}" for k in range(12)]
+    items = [[rng.choice(words_) for _ in range(n)] for n in (5, 11, 12, 13, 20, 30)] + [["a", "b"] * 9, ["a"] * 15, ["a", "b", "c"] * 6]
+    docs = []
+    for _ in range(60):
+        d = [rng.choice(words_) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            part = list(rng.choice(items))[rng.randint(0, 3) :]
+            for k in range(len(part)):
+                if rng.random() < 0.15:
+                    part[k] = "zz"
+            d += part + [rng.choice(words_) for _ in range(rng.randint(0, 4))]
+        docs.append(d)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(0, " ".join(docs[0]))], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {i: {j: b for j, t in enumerate(items) if (b := brute_overlap(d, t))} for i, d in enumerate(docs)}
+    got = find_overlaps(df, bench).collect()
+    assert len(got) == 61 and sum(map(len, want.values())) > 30
+    for r in got:
+        assert {o.item_id: (o.words, o.agree) for o in r.overlaps} == want[r.doc_id]
 
 
 def test_masks_hit_every_overlap():
@@ -283,12 +324,11 @@ def test_masks_hit_every_overlap():
                 hit |= bad & int(m[::-1], 2) << at == 0
         assert hit.all()
     item = [f"w{k}" for k in range(13)]
-    index = Index([(1, " ".join(item)), (2, "one two three four five six seven eight nine ten")])
+    whole, ten = word_hashes(" ".join(item)), word_hashes("one two three four five six seven eight nine ten")
     for c in combinations(range(13), 2):
-        other = Index([(1, " ".join("zz" if k in c else w for k, w in enumerate(item)))])
-        assert index.overlaps(other.h, other.text) == {0: {0: (13, 11, 0)}}
-    short = Index([(1, "a b one two three four five six seven eight nine ten"), (2, "a b one two three four five six seven eight nine zz")])
-    assert index.overlaps(short.h, short.text) == {0: {1: (10, 10, 2)}}
+        assert Document(word_hashes(" ".join("zz" if k in c else w for k, w in enumerate(item)))).overlap(whole) == (13, 11, 0)
+    assert Document(word_hashes("a b one two three four five six seven eight nine ten")).overlap(ten) == (10, 10, 2)
+    assert Document(word_hashes("a b one two three four five six seven eight nine zz")).overlap(ten) is None
 
 
 def test_toxicity(spark, docs, none):
