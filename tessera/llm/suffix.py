@@ -8,13 +8,18 @@ grouped count. Runs that are equal as a whole match without further work; the di
 collection on which the construction runs: one symbol of each is inserted a round, last column first, and each round
 updates the order of the suffixes and the common prefixes of neighbours. A start whose common prefix with a neighbour
 reaches ``length`` is repeated. A round reads the order and prefixes once from front to back and writes them anew, and
-whole anchors stream through a task in batches, so a task holds one batch however large the input is. Anchors
-with more distinct runs than a batch may hold are settled by grouped counts of their strings' hashes instead.
+whole anchors stream through a task in batches, so a task holds one batch however large the input is.
+
+An anchor that lies in a frequent passage has many distinct runs. Those are cut into cells of neighbouring starts, and
+the part that all strings of a cell have in common takes the anchor's place: first a part nearly as long as the
+strings, then, for cells that are still crowded, a longer one, at last the whole string. Every step gathers smaller
+collections, all of which are ordered in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +30,34 @@ from tessera.llm.common import CODES, keyed_groups, materialize, mix64, partitio
 
 LENGTH = 200
 KMER = 32
-#: Distinct runs of one anchor that a task orders at once.
+#: Distinct runs of one anchor that are ordered together; an anchor with more is cut into cells.
+GROUP_RUNS = 512
+#: Distinct runs, of many anchors, that a task orders at once.
 BATCH_RUNS = 20_000
+#: Starts of one text whose anchors are sought at once.
+WINDOW = 1 << 20
+_CELL = "p_anchor long, p_run long, j0 long, anchor long, run long, shift long, owner long, many boolean, bytes binary"
+
 
+def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, ...]:
+    """Text number, anchor hash, run hash, first start, last start (both within the text) and anchor offset of each run.
 
-def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Text number, anchor hash, run hash, first start, last start (both within the text) and anchor offset of each run."""
-    width = length - KMER + 1
+    A text longer than WINDOW is read in windows that share length - 1 bytes; a run ends where a window does.
+    """
+    if len(off) == 2 and len(data) > WINDOW + length:
+        parts = []
+        for at in range(0, len(data) - length + 1, WINDOW):
+            part = data[at : at + WINDOW + length - 1]
+            t, a, r, first, last, shift = runs(part, np.array([0, len(part)]), length, kmer)
+            parts.append((t, a, r, first + at, last + at, shift))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    width = length - kmer + 1
     n = len(data)
     if n < length:
         z = np.zeros(0, dtype=np.int64)
         return z, z.astype(np.uint64), z.astype(np.uint64), z, z, z
     prefix = prefix_hash(CODES[data])
-    kmers = mix64((prefix[KMER:] - prefix[:-KMER]) * powers(n - KMER + 1)[1])
+    kmers = mix64((prefix[kmer:] - prefix[:-kmer]) * powers(n - kmer + 1)[1])
     m = len(kmers)
     pad = -m % width
     grid = np.full(m + pad, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -67,7 +87,28 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.nd
     return text, kmers[p], span_hash(prefix, first, last + length), first - off[text], last - off[text], p - first
 
 
-def insert_columns(group: np.ndarray, strings: list[bytes], shift: np.ndarray, starts: np.ndarray, length: int = LENGTH, owner: np.ndarray | None = None, many: np.ndarray | None = None) -> np.ndarray:
+def cells(data: np.ndarray, off: np.ndarray, anchor: np.ndarray, shift: np.ndarray, width: int, length: int) -> tuple[np.ndarray, ...]:
+    """Strings of runs cut into cells of ``width`` starts, counted back from the anchor.
+
+    Row, first and last start of each cell, a hash of the bytes that all strings of the cell share (with the anchor and
+    the cell's number), and a hash of the cell's bytes. Equal strings stand equally far from their anchor, so they share a cell's hash.
+    """
+    n = np.diff(off) - length + 1
+    c0, c1 = (shift - n + 1) // width, shift // width
+    count = c1 - c0 + 1
+    row = np.repeat(np.arange(len(n)), count)
+    c = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + c0[row]
+    near = shift[row] - c * width  # of the start that is nearest to the anchor
+    first, last = np.maximum(0, near - width + 1), np.minimum(n[row] - 1, near)
+    prefix = prefix_hash(CODES[data])
+    common = span_hash(prefix, off[row] + near, off[row] + near - width + 1 + length)
+    key = mix64(common ^ mix64(anchor[row] + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return row, first, last, key, span_hash(prefix, off[row] + first, off[row] + last + length)
+
+
+def insert_columns(
+    group: np.ndarray, strings: list[bytes], shift: np.ndarray, starts: np.ndarray, length: int = LENGTH, owner: np.ndarray | None = None, many: np.ndarray | None = None, kmer: int = KMER
+) -> np.ndarray:
     """Repeated starts of aligned strings, strings by starts (boolean).
 
     With owner (the text that a string is of) and many (it is of several), a start must be repeated in another text.
@@ -77,7 +118,7 @@ def insert_columns(group: np.ndarray, strings: list[bytes], shift: np.ndarray, s
     ``common`` holds each one's common prefix with the one before it.
     """
     m = len(strings)
-    room = length - KMER
+    room = length - kmer
     columns = room + length
     sizes = np.fromiter(map(len, strings), dtype=np.int64, count=m)
     begin = room - shift
@@ -131,16 +172,18 @@ def _mask(rows: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.packbits(rows, axis=1, bitorder="little")]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATCH_RUNS, across: bool = False) -> DataFrame:
-    """(rid, tag, first, last, mask): starts first..last of a row's text are repeated, or, with a mask, those whose bit is set.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, across: bool = False, group_runs: int | None = None) -> DataFrame:
+    """(rid, tag, pos, mask): the starts that ``pos`` tells of a row's text are repeated, or, with a mask, those whose bit is set.
 
     ``docs`` has rid, tag (the row's key) and text. With ``across``, it has grp too: strings count as repeated only across
-    distinct rows of one grp.
+    distinct rows of one grp. Rows of one key give each span once.
     """
+    group_runs = group_runs or GROUP_RUNS
+    width = length - kmer + 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in text_pieces(batches, "text"):
-            text, anchor, run, first, last, shift = runs(data, off, length)
+            text, anchor, run, first, last, shift = runs(data, off, length, kmer)
             if len(text):
                 key = rows.select(["rid", "tag"]).take(pa.array(text))
                 if across:
@@ -162,39 +205,49 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
             yield pa.RecordBatch.from_arrays([flat["anchor"].combine_chunks(), flat["run"].combine_chunks(), pa.array(pos & 0xFF), pa.array(np.repeat(rows.column(rows.schema.get_field_index("rid")).to_numpy(), n)), flat["many"].combine_chunks(), pa.array([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], type=pa.binary())], names=["anchor", "run", "shift", "owner", "many", "bytes"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Masks of the runs that aren't repeated as a whole."""
         for t in keyed_groups(batches, "anchor"):
             anchors = t.column("anchor").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(anchors)) + 1, [len(anchors)]])
             at = 0
             while at < len(edges) - 1:
-                to = max(at + 1, int(np.searchsorted(edges, edges[at] + batch_runs, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(edges, edges[at] + BATCH_RUNS, side="right")) - 1)
                 part = t.slice(int(edges[at]), int(edges[to] - edges[at]))
                 group = np.repeat(np.arange(to - at), np.diff(edges[at : to + 1]))
                 strings = part.column("bytes").to_pylist()
                 starts = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings)) - length + 1
-                who = (part.column("owner").to_numpy(), part.column("many").to_numpy()) if across else ()
-                found = insert_columns(group, strings, part.column("shift").to_numpy(), starts, length, *who)
-                some = np.flatnonzero(found.any(axis=1))
+                many = part.column("many").to_numpy()
+                who = (part.column("owner").to_numpy(), many) if across else (None, None)
+                found = insert_columns(group, strings, part.column("shift").to_numpy(), starts, length, *who, kmer=kmer)
+                some = np.flatnonzero(found.any(axis=1) & ~many)
                 if len(some):
                     p = part.select(["anchor", "run"]).take(pa.array(some)).combine_chunks()
                     yield from p.append_column("mask", pa.array(_mask(found[some]), type=pa.binary())).to_batches()
                 at = to
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in text_pieces(batches, "bytes", 1 << 16):
-            prefix = prefix_hash(CODES[data])
-            n = np.maximum(np.diff(off) - length + 1, 0)
-            row = np.repeat(np.arange(len(n)), n)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            a = off[row] + j
-            key = rows.select(["anchor", "run", "owner", "many"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*key.columns, pa.array(j), pa.array(span_hash(prefix, a, a + length).view(np.int64))], names=["anchor", "run", "owner", "many", "j", "h"])
-
-    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_cells(w: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, data, off in text_pieces(batches, "bytes", 1 << 17):
+                get = lambda c: rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                shift, raw = get("shift"), data.tobytes()
+                row, first, last, key, part = cells(data, off, get("anchor").view(np.uint64), shift, w, length)
+                a, z = (off[row] + first).tolist(), (off[row] + last + length).tolist()
+                columns = [get("p_anchor")[row], get("p_run")[row], get("j0")[row] + first, key.view(np.int64), part.view(np.int64), shift[row] - first, get("owner")[row], get("many")[row]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([raw[x:y] for x, y in zip(a, z, strict=True)], type=pa.binary())], names=[c.split()[0] for c in _CELL.split(", ")])
+
+        return run
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The masks of a run's cells as one."""
         for batch in batches:
-            lists = batch.column(2)
-            bits = np.zeros((batch.num_rows, length - KMER + 1), dtype=bool)
-            bits[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+            bits = np.zeros((batch.num_rows, width), dtype=bool)
+            for i, parts in enumerate(batch.column(2).to_pylist()):
+                for p in parts:
+                    if p["mask"] is None:
+                        bits[i, p["j0"] : p["j0"] + p["n"]] = True
+                    else:
+                        got = np.flatnonzero(np.unpackbits(np.frombuffer(p["mask"], dtype=np.uint8), bitorder="little"))
+                        bits[i, p["j0"] + got] = True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_mask(bits), type=pa.binary())], names=["anchor", "run", "mask"])
 
     n = partitions(docs.sparkSession)
@@ -208,27 +261,64 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batch_runs: int = BATC
     alone = seen.where("not several").select("rid", "tag", "pos", F.lit(None).cast("binary").alias("mask"))
     several = seen.where("several").drop("several")
     kinds = materialize(several.groupBy("anchor", "run").agg(several_rows.alias("many"), F.min(F.struct("rid", "tag", "pos")).alias("at")), "kinds")
-    crowded = kinds.groupBy("anchor").count().where(F.col("count") > batch_runs).select("anchor")
-    some_crowded = bool(crowded.limit(1).count())
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.select("anchor", "run", "shift", "owner", "many", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(order, "anchor long, run long, mask binary")
+
+    def crowded(rows: DataFrame) -> tuple[DataFrame, bool]:
+        over = materialize(rows.groupBy("anchor").count().where(F.col("count") > group_runs).select(F.col("anchor").alias("c_anchor")), "crowded")
+        return over, bool(over.limit(1).count())
 
     def bytes_of(which: DataFrame) -> DataFrame:
         wanted = which.groupBy(F.col("at.rid").alias("w_rid"), F.col("at.tag").alias("w_tag")).agg(F.collect_list(F.struct("anchor", "run", "many", F.col("at.pos").alias("pos"))).alias("wanted"))
-        joined = docs.join(wanted, (F.col("rid") == F.col("w_rid")) & (F.col("tag") == F.col("w_tag")))
-        return joined.select("rid", "text", "wanted").mapInArrow(cut, "anchor long, run long, shift long, owner long, many boolean, bytes binary")
-
-    plain = kinds.join(crowded, "anchor", "left_anti") if some_crowded else kinds
-    parts = bytes_of(plain).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(order, "anchor long, run long, mask binary")
-    if some_crowded:
-        each = materialize(bytes_of(kinds.join(crowded, "anchor")).mapInArrow(hashes, "anchor long, run long, owner long, many boolean, j long, h long"), "hashes")
-        twice_ = (F.min("owner") != F.max("owner")) | F.max("many") if across else F.count(F.lit(1)) > 1
-        common = each.groupBy("anchor", "h").agg(twice_.alias("twice")).where("twice").select(F.col("anchor").alias("c_anchor"), F.col("h").alias("c_h"))
-        shared = each.join(common, (F.col("anchor") == F.col("c_anchor")) & (F.col("h") == F.col("c_h")))
-        parts = parts.union(shared.groupBy("anchor", "run").agg(F.collect_list("j").alias("js")).mapInArrow(masks, "anchor long, run long, mask binary"))
+        rows = docs.join(wanted, (F.col("rid") == F.col("w_rid")) & (F.col("tag") == F.col("w_tag")))
+        # a key's rows are equal: whichever gives the bytes
+        return rows.select("rid", "text", "wanted").mapInArrow(cut, "anchor long, run long, shift long, owner long, many boolean, bytes binary")
+
+    over, some = crowded(kinds)
+    in_over = F.col("anchor") == F.col("c_anchor")
+    parts = ordered(bytes_of(kinds.join(over, in_over, "left_anti") if some else kinds))
+    masks = []
+    if some:
+        todo = bytes_of(kinds.join(over, in_over, "left_semi")).dropDuplicates(["anchor", "run"])
+        todo = todo.select(F.col("anchor").alias("p_anchor"), F.col("run").alias("p_run"), F.lit(0).cast("long").alias("j0"), "anchor", "run", "shift", "owner", "many", "bytes")
+    w = width
+    while some:
+        w = max(1, -(-w // 4))
+        cell = materialize(todo.mapInArrow(in_cells(w), _CELL), "cells")
+        repeated = F.max("many") | (F.min("owner") != F.max("owner") if across else F.count(F.lit(1)) > 1)
+        kind = materialize(cell.groupBy("anchor", "run").agg(repeated.alias("many"), F.min("owner").alias("owner"), F.first("shift").alias("shift"), F.first("bytes").alias("bytes")), "kinds")
+        over, some = crowded(kind)
+        some &= w > 1  # cells of one start hold one string each
+        whole = kind.where("many").select("anchor", "run", (F.length("bytes") - length + 1).alias("n"), F.lit(None).cast("binary").alias("mask"))
+        few = ordered(kind.join(over, in_over, "left_anti") if some else kind).select("anchor", "run", F.lit(0).alias("n"), "mask")
+        got = materialize(whole.union(few).select(F.col("anchor").alias("m_anchor"), F.col("run").alias("m_run"), "n", "mask"), "masks")
+        masks.append(cell.join(got, (F.col("anchor") == F.col("m_anchor")) & (F.col("run") == F.col("m_run"))).select("p_anchor", "p_run", F.struct("j0", "n", "mask").alias("part")))
+        todo = cell.join(over, in_over, "left_semi") if some else todo
+    if masks:
+        each = reduce(DataFrame.union, masks).groupBy("p_anchor", "p_run").agg(F.collect_list("part").alias("parts"))  # at most a part for each start and step
+        parts = parts.union(each.mapInArrow(joined, "anchor long, run long, mask binary"))
     parts = materialize(parts, "masks").select(F.col("anchor").alias("p_anchor"), F.col("run").alias("p_run"), "mask")
     whole = kinds.where("many").select(F.col("anchor").alias("k_anchor"), F.col("run").alias("k_run"))
     a = several.join(whole, (F.col("anchor") == F.col("k_anchor")) & (F.col("run") == F.col("k_run"))).select("rid", "tag", "pos", F.lit(None).cast("binary").alias("mask"))
     b = several.join(parts, (F.col("anchor") == F.col("p_anchor")) & (F.col("run") == F.col("p_run"))).select("rid", "tag", "pos", "mask")
-    return alone.union(a).union(b)
+    return alone.union(a).union(b).dropDuplicates(["rid", "tag", "pos"])
+
+
+def intervals(pos: np.ndarray, mask: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of bytes that the spans of one text cover."""
+    first = pos >> 16
+    full = np.array([b is None for b in mask], dtype=bool)
+    begin, end = [first[full]], [first[full] + (pos[full] >> 8 & 0xFF) + length]
+    for f, b in zip(first[~full].tolist(), (b for b in mask if b is not None), strict=True):
+        at = f + np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little"))
+        begin.append(at), end.append(at + length)
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    by = np.argsort(begin, kind="stable")
+    begin, end = begin[by], np.maximum.accumulate(end[by])
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = begin[1:] > end[:-1]
+    return begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
@@ -255,22 +345,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 size = z - a
                 text = raw[a:z]
                 if count[i]:
-                    edge = np.zeros(size + 1, dtype=np.int64)
-                    first = pos[k : k + count[i]] >> 16
-                    last = first + (pos[k : k + count[i]] >> 8 & 0xFF)
-                    bits = mask[k : k + count[i]]
-                    full = np.array([b is None for b in bits])
-                    np.add.at(edge, first[full], 1)
-                    np.add.at(edge, last[full] + length, -1)
-                    for f, b in zip(first[~full].tolist(), (b for b in bits if b is not None), strict=True):
-                        at = f + np.flatnonzero(np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little"))
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                    begin, end = intervals(pos[k : k + count[i]], mask[k : k + count[i]], length)
                     k += count[i]
-                    out["n_removed"].append(int(gone.sum()))
-                    out["n_spans"].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    text = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+                    out["n_removed"].append(int((end - begin).sum()))
+                    out["n_spans"].append(len(begin))
+                    text = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), size], strict=True))
                 else:
                     out["n_removed"].append(0)
                     out["n_spans"].append(0)

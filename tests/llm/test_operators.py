@@ -120,9 +120,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [suffix.BATCH_RUNS, 3])
-def test_repeats(docs, none, crowd, monkeypatch):
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (suffix.LENGTH, crowd, False))
+@pytest.mark.parametrize(("crowd", "window"), [(suffix.GROUP_RUNS, suffix.WINDOW), (2, 5000)])
+def test_repeats(docs, none, crowd, window, monkeypatch):
+    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (suffix.LENGTH, suffix.KMER, False, crowd))
+    monkeypatch.setattr(suffix, "WINDOW", window)
     data = rows()
     want = Counter((r[0], *w) for r, w in zip(data, brute_repeats([r[1] for r in data], 200), strict=True))
     got = suffix.remove_repeats(docs.select("doc_id", "text", "kept", "rank"))
@@ -131,6 +132,46 @@ def test_repeats(docs, none, crowd, monkeypatch):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_crowded_anchors_are_cut_into_cells(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    common = [noise(150), noise(195), noise(199), noise(230)]
+    texts = [noise(rng.randint(0, 90)) + rng.choice(common) + noise(rng.randint(0, 90)) for _ in range(90)] + [common[1] + "x" * 30, "=" * 700, "=" * 260, "ab" * 300]
+    texts += [texts[3], texts[40][20:] + "tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = dict(enumerate(brute_repeats(texts, 200)))
+    for crowd in (1, 4):
+        spans = suffix.repeated_spans(docs.select(F.col("doc_id").alias("rid"), F.lit(0).alias("tag"), "text"), group_runs=crowd)
+        got = {}
+        for r in spans.collect():
+            got.setdefault(r.rid, []).append(r)
+        for i, (size, gone, n, _) in want.items():
+            part = got.get(i, [])
+            begin, end = suffix.intervals(np.array([r.pos for r in part]), [r.mask for r in part], 200) if part else (np.zeros(0), np.zeros(0))
+            assert (gone, n) == (int((end - begin).sum()), len(begin))
+    # across rows only: by owner, groups apart
+    rows_ = docs.select(F.col("doc_id").alias("rid"), F.lit(0).alias("tag"), (F.col("doc_id") % 2).alias("grp"), "text")
+    seen = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 39):
+            seen.setdefault((i % 2, t[j : j + 40]), set()).add(i)
+    for crowd in (1, 100):
+        got = {}
+        for r in suffix.repeated_spans(rows_, 40, 16, True, crowd).collect():
+            got.setdefault(r.rid, []).append(r)
+        for i, t in enumerate(texts):
+            cover = np.zeros(len(t), dtype=bool)
+            for j in range(len(t) - 39):
+                if len(seen[i % 2, t[j : j + 40]]) > 1:
+                    cover[j : j + 40] = True
+            part = got.get(i, [])
+            begin, end = suffix.intervals(np.array([r.pos for r in part]), [r.mask for r in part], 40) if part else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+            mine = np.zeros(len(t), dtype=bool)
+            for a, z in zip(begin.tolist(), end.tolist()):
+                mine[a:z] = True
+            assert (mine == cover).all()
+
+
 def test_columns_order_matches_brute_force():
     rng = random.Random(5)
     strings, group, shift = [], [], []
@@ -177,25 +218,67 @@ def test_em_weights():
     assert abs(w.sum() - 1) < 1e-9 and like(w) >= max(map(like, grid)) - 1e-3
 
 
-def test_knn(spark):
+def brute_knn(data, is_query, k=5):
+    """Lists of (score, id) by query row, in Python's integers."""
+    sound = [(i, [int(np.floor(float(x) * 256)) for x in v]) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for a, (i, v) in enumerate(sound):
+        if is_query(i):
+            found = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(v, w)))), j) for b, (j, w) in enumerate(sound) if a != b and len(w) == len(v))
+            out[i, tuple((j, -s) for s, j in found[:k])] += 1
+    return out
+
+
+def lists_of(result):
+    got = {}
+    for r in result.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return got
+
+
+@pytest.mark.parametrize(("block", "part"), [(1 << 17, 1 << 19), (30, 400)])
+def test_knn(spark, block, part):
     rng = np.random.default_rng(2)
     data = [(i, rng.normal(size=6).astype(float).tolist()) for i in range(300)]
-    data += [(300 + i, [0.5] * 6) for i in range(150)] + [(450, None), (451, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (452, [float("nan")] * 6), (453, [float("inf")] * 6), (454, []), data[0]]
+    data += [(300 + i, [0.5] * 6) for i in range(150)] + [(450, None), (451, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (452, [float("nan")] * 6), (453, [float("inf")] * 6), (454, []), (None, [1.0] * 6)]
+    # stray lengths, large components, zero vectors
+    data += [(460 + i, rng.normal(size=1 + i % 3).tolist()) for i in range(40)] + [(550, [1e8, -1e8, 3.0, 0.0, 0.5, 1e7]), (551, [1e8] * 6), (600, [0.0] * 6), (650, [3e15, -2.5, 1.0, 0.0, 0.0, 1e15])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).repartition(4)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in voronoi_knn(df, F.col("vec_id") % 50 == 0).collect()}
-    ids = np.array([i for i, _ in data[:450]])
-    m = np.floor(np.array([v for _, v in data[:450]]) * 256).astype(np.int64)
-    n = 0
-    for q in ids[ids % 50 == 0]:
-        s = m @ m[q]
-        for k, j in enumerate([j for j in np.lexsort((ids, -s)) if j != q][:5], 1):
-            assert got[q, k] == (j, s[j])
-            n += 1
-    assert n == len(got)
+    got = lists_of(voronoi_knn(df, F.col("vec_id") % 50 == 0, block_values=block, slice_values=part))
+    want = brute_knn(data, lambda i: i % 50 == 0)
+    assert set(got) == {i for i, found in want if found}
+    for i, found in want:
+        assert [(j, s) for _, j, s in sorted(got.get(i, []))] == [(j, s) for j, s in found]
     assert voronoi_knn(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert voronoi_knn(df, F.lit(False)).count() == 0
-    two = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "vec_id long, embedding array<double>")
-    assert [tuple(r) for r in voronoi_knn(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 65536)]
+
+
+def test_knn_rows_of_one_id(spark):
+    # two vectors of one id, a row twice, and a product beyond a long
+    data = [(0, [1.0]), (1, [1.0]), (0, [-2.0]), (3, [4.0]), (3, [4.0]), (4, [1e300])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in voronoi_knn(df, F.col("vec_id") == 0).collect())
+    top = 2**63 - 1
+    want = Counter([(0, 1, 4, top), (0, 2, 3, 262144), (0, 3, 3, 262144), (0, 4, 1, 65536), (0, 5, 0, -131072)])
+    want += Counter([(0, 1, 0, -131072), (0, 2, 1, -131072), (0, 3, 3, -524288), (0, 4, 3, -524288), (0, 5, 4, -top)])
+    assert got == want
+
+
+def test_knn_prunes_clusters(spark, monkeypatch):
+    from tessera.llm import knn
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 16)) * 10
+    data = [(i, (centres[i % 8] + 0.01 * rng.normal(size=16)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    written = {}
+    monkeypatch.setattr(knn, "materialize", lambda t, name, f=knn.materialize: written.setdefault(name, f(t, name)))
+    got = lists_of(voronoi_knn(df, F.col("vec_id") % 50 == 0, block_values=48, slice_values=2000))
+    for i, found in brute_knn(data, lambda i: i % 50 == 0):
+        assert [(j, s) for _, j, s in sorted(got[i])] == list(found)
+    blocks = written["reach"].select("block").distinct().count()
+    kept = written["reach"].join(written["summaries"], (F.col("r_n") == F.col("n")) & (F.col("r_cell") == F.col("cell"))).agg(F.sum("count")).first()[0]
+    assert kept < 0.5 * blocks * len(data)
 
 
 def test_mixing(docs, none):
