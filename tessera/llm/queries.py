@@ -11,7 +11,7 @@ from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.mixing import MIX_SQL, mix
 from tessera.llm.decontamination import find_overlaps
 from tessera.llm.extraction import extract_text
-from tessera.llm.knn import voronoi_knn
+from tessera.llm.knn import KNN_SQL, voronoi_knn
 from tessera.llm.ngram import held_out, score_texts
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.suffix import remove_repeats
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": MIX_SQL}
+    return {"op3_voronoi_knn": KNN_SQL, "op6_mixing": MIX_SQL}
