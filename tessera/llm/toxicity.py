@@ -14,20 +14,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CODES, materialize, mix64, prefix_hash, span_hash, text_pieces
 
 #: Labelled rows that a model is fitted on, at most; rows are chosen by hash.
 SAMPLE_ROWS = 20_000
-LEXICON = 2000
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that the lexicon may hold beside whole words.
 BEGINNINGS = (5, 6, 7)
 #: Evidence that a lexicon entry needs: a word of five labelled texts and no other has about 20.
 MIN_G2 = 20.0
+#: Log odds that it needs, and labelled texts that hold it.
+MIN_ODDS, MIN_TEXTS = 1.2, 2
+#: Weight of a labelled text that is like no other: weights are whole numbers, so sums don't hang on the order of tasks.
+UNIT = 600
 FEATURES = 8
 
 # Closed word classes of the grammar, by language (en, de, fr, es).
@@ -216,8 +220,8 @@ def match(data: np.ndarray, off: np.ndarray, lexical: Lexical) -> np.ndarray:
     return out
 
 
-def choose(counts: np.ndarray, n0: int, n1: int, keys: np.ndarray, most: int = LEXICON) -> dict[int, float]:
-    """Features that speak for the label: keys and smoothed log odds. counts: documents with it, by label."""
+def choose(counts: np.ndarray, n0: float, n1: float, keys: np.ndarray) -> dict[int, float]:
+    """Features that speak for the label: keys and smoothed log odds. counts: weight of the documents with it, by label."""
     a, b = counts[:, 1].astype(float), counts[:, 0].astype(float)
     total = n0 + n1
     if not n1 or not n0:
@@ -229,28 +233,39 @@ def choose(counts: np.ndarray, n0: int, n1: int, keys: np.ndarray, most: int = L
     seen = a + b
     g2 = 2 * (part(a, seen * n1 / total) + part(b, seen * n0 / total) + part(n1 - a, (total - seen) * n1 / total) + part(n0 - b, (total - seen) * n0 / total))
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    at = np.flatnonzero((odds > 1.2) & (g2 > MIN_G2) & (a >= 2))
-    at = at[np.lexsort((keys[at], -g2[at]))][:most]
+    at = np.flatnonzero((odds > MIN_ODDS) & (g2 > MIN_G2) & (a >= MIN_TEXTS))
     return {int(k): float(w) for k, w in zip(keys[at], odds[at], strict=True)}
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def may_choose(a: Column, b: Column, n1: float, n0: float) -> Column:
+    """A condition that all features pass which ``choose`` takes: what is collected is the lexicon, not the vocabulary."""
+    if not n1 or not n0:
+        return F.lit(False)
+    odds = F.ln((a + 0.5) / (n1 + 1)) - F.ln((b + 0.5) / (n0 + 1))
+    part = lambda x, e: F.when(x > 0, x * F.ln(x / F.greatest(e, F.lit(1e-9)))).otherwise(0.0)
+    seen, total = a + b, n0 + n1
+    g2 = 2 * (part(a, seen * n1 / total) + part(b, seen * n0 / total) + part(n1 - a, (total - seen) * n1 / total) + part(n0 - b, (total - seen) * n0 / total))
+    return (odds > MIN_ODDS - 1e-6) & (g2 > MIN_G2 - 1e-6) & (a >= MIN_TEXTS)
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Logistic weights, the last for the constant, by Newton's method."""
+    weight = np.ones(len(y)) if weight is None else weight
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w[-1] = np.log((weight @ y + 0.5) / (weight @ (1 - y) + 0.5))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum())
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * (penalty * w * w).sum())
 
     at = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        g = x.T @ (weight * (y - p)) - penalty * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
         # labels that a feature separates would carry a whole step too far
         while (new := loss(w + step)) > at and np.abs(step).max() > 1e-10:
@@ -273,21 +288,32 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(text[:-2] == text[2:])
             for j in range(3):
                 np.minimum.at(low[:, j], text[at], mix64(s[at] ^ CODES[10 + j]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(low[:, j].view(np.int64)) for j in range(3))], names=["doc_id", "m0", "m1", "m2"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(low[:, j].view(np.int64)) for j in range(3))], names=["row", "toxic", "m0", "m1", "m2"])
+
+
+def likeness(marks: pd.DataFrame) -> np.ndarray:
+    """Weight of each row of (toxic, m0, m1, m2): UNIT by the mean number of texts of its label that share a smallest hash.
+
+    So a text that many resemble counts about once with all of them, and none is left out. Texts without a shingle resemble none.
+    """
+    shared = sum(np.where(marks[m] == -1, 1, marks.groupby(["toxic", m])[m].transform("size")) for m in ("m0", "m1", "m2"))
+    return np.maximum(1, np.rint(3 * UNIT / shared)).astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[int, float], np.ndarray]:
-    """Lexicon and model from at most ``sample_rows`` rows of ``labels`` (doc_id, toxic), chosen by hash."""
-    chosen = labels.where("toxic is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
+    """Lexicon and model from at most ``sample_rows`` rows of ``labels`` (doc_id, toxic), chosen by hash.
+
+    A doc_id with both labels teaches nothing.
+    """
+    agreed = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("also")).where("toxic = also")
+    chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
     # at most sample_rows rows of three numbers: small enough to broadcast
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "fold", "text"), "labelled")
-    # copies and near copies would make words of one text look like a pattern: of texts that share a smallest shingle one is used
-    marks = sample.select("doc_id", "text").mapInArrow(sketches, "doc_id long, m0 long, m1 long, m2 long").toPandas().sort_values(["doc_id", "m0"])
-    copy = np.zeros(len(marks), dtype=bool)
-    for m in ("m0", "m1", "m2"):
-        copy |= marks[m].duplicated().to_numpy() & (marks[m] != -1).to_numpy()
-    kept = marks.doc_id[~copy].drop_duplicates().tolist()
-    rows = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in kept], "doc_id long")), "doc_id").select("toxic", "fold", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("row"), "toxic", "fold", "text")
+    sample = materialize(sample, "labelled")
+    # copies and near copies would make words of one text look like a pattern, so they share their weight
+    marks = sample.select("row", "toxic", "text").mapInArrow(sketches, "row long, toxic int, m0 long, m1 long, m2 long").toPandas()
+    weights = docs.sparkSession.createDataFrame(list(zip(marks.row.tolist(), likeness(marks).tolist(), strict=True)), "w_row long, weight long")
+    rows = sample.join(F.broadcast(weights), F.col("row") == F.col("w_row")).select("toxic", "fold", "text", "weight")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = [], []
@@ -300,9 +326,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(s[:, j].astype(np.int64)) for j in range(4))], names=["k", "n0", "n1", "n2", "n3"])
 
         for batch, data, off in text_pieces(batches, "text"):
-            kind = batch.column(1).to_numpy() * 2 + batch.column(0).to_numpy()
-            # how many texts there are, under a key that no feature has
-            n = np.bincount(kind, minlength=4)
+            kind, weight = batch.column(1).to_numpy() * 2 + batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            # the weight of all texts, under a key that no feature has
+            n = np.bincount(kind, weights=weight, minlength=4)
             keys.append(np.array([0], dtype=np.uint64)), sums.append(n[None, :])
             if len(data):
                 data = fold(data)
@@ -311,41 +337,45 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     at = np.flatnonzero(h)
                     both = np.unique(np.stack([text[at].astype(np.uint64), h[at]], axis=1), axis=0)
                     one = np.zeros((len(both), 4))
-                    one[np.arange(len(both)), kind[both[:, 0].astype(np.int64)]] = 1
+                    of = both[:, 0].astype(np.int64)
+                    one[np.arange(len(both)), kind[of]] = weight[of]
                     keys.append(both[:, 1]), sums.append(one)
             if sum(map(len, keys)) > 1 << 19:
                 yield flush()
         if keys:
             yield flush()
 
-    sums = rows.mapInArrow(count, "k long, n0 long, n1 long, n2 long, n3 long").groupBy("k").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4)))
-    sums = sums.where("n1 + n3 >= 2").orderBy(F.col("k") != 0, F.desc(F.expr("(n1 + n3 + 0.5D) * ln((n1 + n3 + 0.5D) / (n0 + n2 + 0.5D))")), "k").limit(20 * LEXICON).toPandas()
-    total = sums[sums.k == 0].iloc[0] if (sums.k == 0).any() else None
+    sums = materialize(rows.mapInArrow(count, "k long, n0 long, n1 long, n2 long, n3 long").groupBy("k").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(4))), "words")
+    total = sums.where("k = 0").first()
     if total is None:
         return {}, np.append(np.zeros(FEATURES), -2.0)
-    rest = sums[sums.k != 0]
+    t = [total[f"n{j}"] / UNIT for j in range(4)]
+    c = [F.col(f"n{j}") / UNIT for j in range(4)]
+    some = may_choose(c[1], c[0], t[1], t[0]) | may_choose(c[3], c[2], t[3], t[2]) | may_choose(c[1] + c[3], c[0] + c[2], t[1] + t[3], t[0] + t[2])
+    rest = sums.where("k <> 0").where(some).orderBy("k").toPandas()
     keys = rest.k.to_numpy().view(np.uint64)
-    n = rest[["n0", "n1", "n2", "n3"]].to_numpy()
-    half = [choose(n[:, 2 * f : 2 * f + 2], total[f"n{2 * f}"], total[f"n{2 * f + 1}"], keys) for f in (0, 1)]
-    whole = choose(n[:, :2] + n[:, 2:], total.n0 + total.n2, total.n1 + total.n3, keys)
+    n = rest[["n0", "n1", "n2", "n3"]].to_numpy() / UNIT
+    half = [choose(n[:, 2 * f : 2 * f + 2], t[2 * f], t[2 * f + 1], keys) for f in (0, 1)]
+    whole = choose(n[:, :2] + n[:, 2:], t[0] + t[2], t[1] + t[3], keys)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers = [Lexical(h) for h in half]
         for batch, data, off in text_pieces(batches, "text"):
             fold_ = batch.column(1).to_numpy()
             x = np.where((fold_ == 0)[:, None], match(data, off, readers[1]), match(data, off, readers[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(FEATURES))], names=["toxic", *(f"x{j}" for j in range(FEATURES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *(pa.array(x[:, j]) for j in range(FEATURES))], names=["toxic", "weight", *(f"x{j}" for j in range(FEATURES))])
 
-    table = rows.mapInArrow(features, "toxic int, " + ", ".join(f"x{j} double" for j in range(FEATURES))).toPandas()
+    table = rows.mapInArrow(features, "toxic int, weight long, " + ", ".join(f"x{j} double" for j in range(FEATURES))).toPandas()
     table = table.sort_values(list(table.columns))  # the sums' rounding doesn't hang on the order of tasks
-    return whole, fit(table.iloc[:, 1:].to_numpy(), (table.toxic.to_numpy() == 1).astype(float))
+    return whole, fit(table.iloc[:, 2:].to_numpy(), (table.toxic.to_numpy() == 1).astype(float), table.weight.to_numpy() / UNIT)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted, clauses (matched directly) of every row of ``docs``.
 
     Labels are learned only from rows whose crc32(doc_id as text) mod ``modulus`` isn't ``remainder``. Null and empty
-    texts match nothing and get the model's constant. Without labels the score is a constant below THRESHOLD. Rows that
+    texts match nothing and get the model's constant. Without labels, or with contradicting ones alone, the score is a
+    constant below THRESHOLD. Rows that
     repeat score alike; a null doc_id counts as the empty text for the split and has no label. An empty table gives an empty
     result. Other columns are not read.
     """
