@@ -24,6 +24,8 @@ from tessera.llm.common import CODES, LOWER, keyed_groups, materialize, mix64, p
 CHUNK_TOKENS = 1_000_000
 #: Counts that one block's owner sums at once.
 BLOCK_KEYS = 2_000_000
+#: Tokens that one task of an exchange gets about, where the session's number of partitions would give it more.
+TASK_TOKENS = 32_000_000
 BUCKETS = 48
 CLASSES = 64
 EM_ROUNDS = 200
@@ -155,7 +157,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append(wide.view(np.uint64).ravel())
             counts = [_unpack(c, np.uint32) for c in part.column("counts").to_pylist()]
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint32)
+            total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
             answers = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
             known = int((total > 0).sum()) if kind == 0 else 0
             yield pa.RecordBatch.from_pydict({"chunk": [*part.column("chunk").to_pylist(), None], "block": [*part.column("block").to_pylist(), int(blocks[a])], "counts": [*map(_pack, answers), b""], "known": [*[0] * (z - a), known]}, schema=schema)
@@ -179,7 +181,7 @@ def _each_chunk(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[tupl
             found = []
             for kind, keys in ((0, vocabulary), (1, pair_hashes)):
                 by = np.argsort((keys % np.uint64(blocks)).astype(np.int64), kind="stable")
-                c = np.concatenate([_unpack(r["counts"], np.uint32) for r in sorted((r for r in rows if r["tokens"] is None and r["block"] % 2 == kind), key=lambda r: r["block"])])
+                c = np.concatenate([_unpack(r["counts"], np.uint64) for r in sorted((r for r in rows if r["tokens"] is None and r["block"] % 2 == kind), key=lambda r: r["block"])])
                 full = np.empty(len(keys), dtype=np.int64)
                 full[by] = c
                 found.append(full)
@@ -223,7 +225,7 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     chunks = materialize(rows.mapInArrow(_tokenise(chunk_tokens), CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     tokens, n_train, n_docs = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.sum("train_tokens"), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
     tokens, n_train, begins = tokens or 0, n_train or 0, n_docs or 0
-    n = partitions(spark)
+    n = max(partitions(spark), -(-tokens // TASK_TOKENS))
     blocks = max(n, -(-tokens // block_keys))
     asked = chunks.mapInArrow(_ask(blocks), "block long, chunk long, kind int, keys binary, counts binary")
     counts = materialize(asked.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_answer, "chunk long, block long, counts binary, known long"), "counts")
