@@ -166,7 +166,9 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     for level, of in (("label", F.substring_index("of_host", ".", -1)), ("domain", F.substring_index("of_host", ".", -2)), ("host", None)):
         if of is not None:
             hosts = hosts.join(counted(level, F.substring_index("host", ".", -1 if level == "label" else -2)), of == F.col(f"of_{level}"))
-        prior = F.zip_with(f"n_{level}", prior, lambda g, p: (g + STRENGTH * p) / (F.col(f"all_{level}") + STRENGTH))  # noqa: B023
+        smoothed = F.zip_with(f"n_{level}", prior, lambda g, p: (g + STRENGTH * p) / (F.col(f"all_{level}") + STRENGTH))  # noqa: B023
+        # a host without dots is its own label and domain, whose counts say nothing more
+        prior = smoothed if of is None else F.when(of != F.col("of_host"), smoothed).otherwise(prior)
     hosts = materialize(hosts.select(F.col("of_host").alias(f"{_PREFIX}h"), F.transform(prior, lambda p: F.log(p)).alias(f"{_PREFIX}prior")), "priors")
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     says, suffixes = stated("declared"), stated("suffix")
