@@ -12,6 +12,8 @@ WEIGHTS = (1, 2, 3)
 LIMIT = 3
 #: Hex digits of the salt within a size class: a source's rows of one class are ranked in 256 parts.
 SALT_DIGITS = 2
+#: Offsets of a source that are drawn; the one whose copies come nearest to the target in words is added.
+OFFSETS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -49,14 +51,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """doc_id, source, size, source_size, target, copies, taken of every row.
 
     Each row expects target / source_size copies; the expectations are summed within the source in the order of (size
-    class, salt, doc_id, text hash), one offset a source (from ``seed``) is added, and a copy is emitted for each integer
-    crossed. Counts by (source, class, salt) are summed first, so no task ranks a whole source. Null texts have size 0; a
+    class, salt, doc_id, mark), one offset a source is added, and a copy is emitted for each integer crossed. The offset
+    is the one of OFFSETS, evenly spaced from a random one (by ``seed`` and source), whose words come nearest to the target, ties to
+    the first. Counts by (source, class, salt) are summed first, so no task ranks a whole source. Salt and mark are a hash of
+    doc_id and text, so null or repeated ids share no window unless their texts are equal too. Null texts have size 0; a
     source without words has target 0 and gives no copies; null is a source of its own; rows that repeat are rows of
     their own; an empty table gives an empty result. Other columns are not read.
     """
-    salt = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, SALT_DIGITS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
-    rows = materialize(rows.withColumn("class", size_class(F.col("size"))).withColumn("salt", salt), "sizes")
+    mark = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")), 1, 16)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    rows = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("mark"))
+    rows = materialize(rows.withColumn("class", size_class(F.col("size"))).withColumn("salt", F.substring("mark", 1, SALT_DIGITS)), "sizes")
     cell = rows.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     goal = targets(cell.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     # what stands ahead of a cell: the smaller classes of its source, and the smaller salts of its class
@@ -66,23 +71,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     beside = F.sum("n").over(Window.partitionBy("source", "class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     ahead = cell.withColumn("beside", F.coalesce(beside, F.lit(0))).join(by_class, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")))
     ahead = ahead.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("salt").alias("c_salt"), (F.col("below") + F.col("beside")).alias("ahead"))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    first = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.select(F.col("source").alias("g_source"), "source_size", "target", rate.alias("rate"), offset.alias("offset"))
-    plan = ahead.join(goal, F.col("c_source").eqNullSafe(F.col("g_source")))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("doc_id", "tie")))
+    goal = materialize(goal.select(F.col("source").alias("g_source"), "source_size", "target", rate.alias("rate"), first.alias("first")), "goals")
+    plan = ahead.join(goal, F.col("c_source").eqNullSafe(F.col("g_source"))).select("c_source", "c_class", "c_salt", "ahead", "rate", "first")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("doc_id", "mark")))
     r = ranked.join(plan, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")) & (F.col("salt") == F.col("c_salt")))
-    rank = F.col("ahead") + F.col("rank")
-    copies = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
-    # rounding alone could add a copy beyond the limit
-    r = r.withColumn("copies", F.least(copies, F.lit(limit).cast("long")))
+    r = materialize(r.select("doc_id", "source", "size", (F.col("ahead") + F.col("rank")).alias("rank"), "rate", "first"), "ranked")
+    rank = F.col("rank")
+
+    def copies(offset: Column) -> Column:
+        # rounding alone could add a copy beyond the limit
+        n = F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset)
+        return F.least(n, F.lit(limit).cast("long"))
+
+    def offset(j: int) -> Column:
+        u = F.col("first") + F.lit(j / OFFSETS)
+        return F.when(u >= 1, u - 1).otherwise(u)
+
+    sums = r.groupBy(F.col("source").alias("o_source")).agg(F.first("first").alias("first"), *(F.sum(copies(offset(j)) * F.col("size")).alias(f"w{j}") for j in range(OFFSETS)))
+    sums = sums.join(goal.select("g_source", "source_size", "target"), F.col("o_source").eqNullSafe(F.col("g_source")))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{j}").cast("double") - F.col("target")).alias("d"), F.lit(j).alias("j"), offset(j).alias("u")) for j in range(OFFSETS))))["u"]
+    chosen = materialize(sums.select("g_source", "source_size", "target", best.alias("offset")), "offsets")
+    r = r.join(chosen, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("copies", copies(F.col("offset")))
     return r.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: The same relation for DuckDB.
 MIX_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 16) AS mark FROM documents),
 totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS BIGINT) AS cap FROM rows GROUP BY source),
 weighed AS (
@@ -101,12 +120,18 @@ goal AS (
 ranked AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY
     CASE WHEN size < 32 THEN size ELSE CAST(32 + (floor(log2(size)) - 5) * 16 + floor(size / pow(2.0, floor(log2(size))) * 16) - 16 AS BIGINT) END,
-    substr(md5(CAST(doc_id AS VARCHAR)), 1, 2), doc_id) AS rnk FROM rows),
+    substr(mark, 1, 2), doc_id NULLS FIRST, mark) AS rnk FROM rows),
 drawn AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
-  FROM ranked JOIN goal ON source IS NOT DISTINCT FROM g_source)
+  FROM ranked JOIN goal ON source IS NOT DISTINCT FROM g_source),
+offsets AS (
+  SELECT g_source AS o_source, target AS o_target, j, CASE WHEN u + j / 32.0::DOUBLE >= 1 THEN u + j / 32.0::DOUBLE - 1 ELSE u + j / 32.0::DOUBLE END AS o FROM goal, range(32) t(j)),
+tried AS (
+  SELECT o_source, j, o, abs(CAST(sum(least(CAST(floor(rnk * rate + o) AS BIGINT) - CAST(floor((rnk - 1) * rate + o) AS BIGINT), 3) * size) AS DOUBLE) - any_value(o_target)) AS miss
+  FROM drawn JOIN offsets ON g_source IS NOT DISTINCT FROM o_source GROUP BY o_source, j, o),
+chosen AS (SELECT o_source, o FROM tried QUALIFY row_number() OVER (PARTITION BY o_source ORDER BY miss, j) = 1)
 SELECT doc_id, source, size, source_size, target,
-  least(CAST(floor(rnk * rate + u) AS BIGINT) - CAST(floor((rnk - 1) * rate + u) AS BIGINT), 3) AS copies,
-  least(CAST(floor(rnk * rate + u) AS BIGINT) - CAST(floor((rnk - 1) * rate + u) AS BIGINT), 3) * size AS taken
-FROM drawn
+  least(CAST(floor(rnk * rate + o) AS BIGINT) - CAST(floor((rnk - 1) * rate + o) AS BIGINT), 3) AS copies,
+  least(CAST(floor(rnk * rate + o) AS BIGINT) - CAST(floor((rnk - 1) * rate + o) AS BIGINT), 3) * size AS taken
+FROM drawn JOIN chosen ON source IS NOT DISTINCT FROM o_source
 """
