@@ -16,7 +16,7 @@ from tessera.llm.ngram import held_out, score_texts
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.suffix import remove_repeats
 from tessera.llm.toxicity import score_toxicity
-from tessera.llm.urls import judge_urls
+from tessera.llm.urls import URLS_SQL, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_voronoi_knn": KNN_SQL, "op6_mixing": MIX_SQL}
+    return {"op3_voronoi_knn": KNN_SQL, "op6_mixing": MIX_SQL, "op9_url_filter": URLS_SQL}
