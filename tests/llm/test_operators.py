@@ -3,15 +3,17 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
+from brute import brute_clause, brute_extract, brute_fingerprint, brute_knn, brute_language, brute_model, brute_overlap, brute_repeats
 from tessera.llm import langid, ngram, suffix, toxicity, urls
 from tessera.llm.decontamination import MASKS, Document, find_overlaps, longest, word_hashes
 from tessera.llm.extraction import blocks, extract_text
@@ -59,13 +61,6 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def brute_fingerprint(t):
-    w = (t or "").encode().lower().split()
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
-    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-
-
 def test_simhash(docs, none):
     got = simhash_groups(docs).collect()
     data = rows()
@@ -104,22 +99,6 @@ def test_local_links_are_complete():
     assert fingerprint(b"") == 0
 
 
-def brute_repeats(texts, length):
-    raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
-    out = []
-    for b in raw:
-        edge = np.zeros(len(b) + 1, dtype=int)
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
-                edge[i] += 1
-                edge[i + length] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
-        kept = bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
-        out.append((len(b), int(gone.sum()), int(np.diff(np.concatenate([[0], gone.astype(int)])).clip(0).sum()), kept))
-    return out
-
-
 @pytest.mark.parametrize(("crowd", "window"), [(suffix.GROUP_RUNS, suffix.WINDOW), (2, 5000)])
 def test_repeats(docs, none, crowd, window, monkeypatch):
     monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (suffix.LENGTH, suffix.KMER, False, crowd))
@@ -209,6 +188,30 @@ def test_language_model(docs, none):
     assert ngram.score_texts(docs, F.lit(True)).where("score is null or isnan(score)").count() == 0
 
 
+def test_model_equals_brute_force(docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    weights = rng.dirichlet((1, 1, 1), ngram.BUCKETS)
+    weights[0] = [0, 0.6, 0.4]
+    tables = []
+    monkeypatch.setattr(ngram, "learn_weights", lambda t: tables.append(t) or weights)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    data = [(r[0], r[1]) for r in rows()]
+    scores, n, two, one = brute_model(data, held, weights)
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ngram.score_texts(docs, ngram.held_out(F.col("doc_id")), chunk_tokens=700, block_keys=200).collect())
+    assert got == Counter((i, len((t or "").split()) + 1, round(s, 6)) for (i, t), s in zip(data, scores, strict=True))
+    t = tables[0]
+    assert t[:, 1].sum() == n and t[:, 1] @ t[:, 2] == pytest.approx(two) and t[:, 1] @ t[:, 3] == pytest.approx(one)
+
+
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    keys = np.array([3, 4], dtype=np.uint64)
+    ask = [{"block": 0, "chunk": c, "kind": 0, "keys": keys.tobytes(), "counts": ngram._pack(np.array([2**32 - 1, 1], dtype=np.uint32))} for c in range(3)]
+    got = [r for b in ngram._answer(iter([pa.RecordBatch.from_pylist(ask)])) for r in b.to_pylist()]
+    assert all(ngram._unpack(r["counts"], np.uint64).tolist() == [3 * (2**32 - 1), 3] for r in got if r["chunk"] is not None)
+
+
 def test_em_weights():
     rng = np.random.default_rng(1)
     table = np.stack([np.ones(400), np.ones(400), rng.exponential(3, 400), rng.exponential(1, 400)], axis=1)
@@ -218,17 +221,6 @@ def test_em_weights():
     assert abs(w.sum() - 1) < 1e-9 and like(w) >= max(map(like, grid)) - 1e-3
 
 
-def brute_knn(data, is_query, k=5):
-    """Lists of (score, id) by query row, in Python's integers."""
-    sound = [(i, [int(np.floor(float(x) * 256)) for x in v]) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = Counter()
-    for a, (i, v) in enumerate(sound):
-        if is_query(i):
-            found = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(v, w)))), j) for b, (j, w) in enumerate(sound) if a != b and len(w) == len(v))
-            out[i, tuple((j, -s) for s, j in found[:k])] += 1
-    return out
-
-
 def lists_of(result):
     got = {}
     for r in result.collect():
@@ -307,8 +299,13 @@ def test_mixing(docs, none):
         assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
         taken[r.source] += r.copies
     docs_of = Counter(r[3] for r in data)
+    words_of = Counter()
+    for r in got:
+        words_of[r.source] += r.taken
     for s in order:
         assert abs(taken[s] - docs_of[s] * target[s] / sizes[s]) <= 1
+        # in words: within a few hundredths, or half the source's longest text
+        assert abs(words_of[s] - target[s]) <= max(0.03 * target[s], 0.5 * max(r.size for r in got if r.source == s))
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(got, key=key) == sorted(mix(docs.repartition(2)).collect(), key=key)
     assert mix(none).count() == 0
@@ -361,20 +358,6 @@ def test_decontamination_searches_the_whole_diagonal(spark):
     assert got[1] == got[2] == [(1, 30, 30), (None, 30, 30)] and got[3] == got[5] == [(1, 60, 50), (None, 60, 50)] and got[4] == [(2, 80, 80)]
 
 
-def brute_overlap(doc, item):
-    """Longest overlap over all shifts and spans, by trying each."""
-    least, fits = min(13, len(item)), []
-    for shift in range(-len(item) + 1, len(doc)):
-        a, z = max(0, -shift), min(len(item), len(doc) - shift)
-        same = [item[k] == doc[k + shift] for k in range(a, z)]
-        if len(item) < 12:
-            fits += [(len(item), len(item))] if len(same) == len(item) and all(same) else []
-            continue
-        spans = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i + least, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i) and (j - i == least or same[i] and same[j - 1])]
-        fits += [max(spans)] if spans else []
-    return max(fits, default=None)
-
-
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(21)
     words_ = [f"w{k}" for k in range(12)]
@@ -449,22 +432,87 @@ def test_grammar():
     assert score(o, o)[0] == 0
 
 
+def test_clauses_equal_brute_force():
+    rng = random.Random(3)
+    kinds = ["other", "insult", "threat", "target", "negation", "report"]
+    for _ in range(3000):
+        clause = [(kinds[k], (0.0, rng.choice([1.3, 2.0, 4.0]), toxicity.THREAT_WEIGHT, 0.0, 0.0, 0.0)[k]) for k in (rng.randrange(6) for _ in range(rng.randint(1, 9)))]
+        got = toxicity.score_clause([kinds.index(k) for k, _ in clause], [w for _, w in clause])
+        assert got[0] == pytest.approx(brute_clause(clause))
+        assert got[3] == (any(k == "target" for k, _ in clause) and any(k in ("insult", "threat") for k, _ in clause))
+
+
+def test_matches_equal_brute_force():
+    rng = random.Random(4)
+    insults = {"dimwit": 2.0, "créep": 3.0}
+    reader = toxicity.Lexical({toxicity.word_hash(w): v for w, v in insults.items()})
+    kind = {**dict.fromkeys(toxicity.REPORTS, "report"), **dict.fromkeys(toxicity.NEGATIONS, "negation"), **dict.fromkeys(toxicity.TARGETS, "target"), **dict.fromkeys(toxicity.THREATS, "threat"), **dict.fromkeys(insults, "insult")}
+    pool = ["dimwit", "CRÉEP", "you", "not", "said", "kill", "apple", "pear", "x1"]
+    texts = ["", "...", "dimwit"] + ["".join(rng.choice(pool) + rng.choice([" ", " ", ", ", ". ", "!\n"]) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    got = toxicity.match(np.frombuffer(b"".join(raw), dtype=np.uint8), off, reader)
+    for t, row in zip(texts, got, strict=True):
+        clauses = [[w for w in re.split(r"[ ,]+", c.lower()) if w] for c in re.split(r"[.!?;:\n]", t)]
+        totals = [brute_clause([(kind.get(w, "other"), insults.get(w, 3.0 if kind.get(w) == "threat" else 0.0)) for w in c]) for c in clauses if any(kind.get(w) in ("insult", "threat") for w in c)]
+        assert row[0] == bool(totals) and np.expm1(row[1]) == pytest.approx(sum(totals)) and row[2] == pytest.approx(max(totals, default=0))
+
+
+def test_contradicting_labels_and_copies():
+    import pandas as pd
+
+    marks = pd.DataFrame([(1, 5, 6, 7), (1, 5, 6, 7), (1, 5, 8, 9), (0, 5, 6, 7), (0, -1, -1, -1), (0, -1, -1, -1)], columns=["toxic", "m0", "m1", "m2"])
+    assert toxicity.likeness(marks).tolist() == [257, 257, 360, 600, 600, 600]
+
+
 def test_urls(spark):
     data = [
         (0, "http://a.org/x", "allow", "org/"), (1, "https://sub.Example.ORG/es/1", "block", "example.org/es/"), (2, "http://example.org/en/12?q", "block", "example.org/en/1"), (3, "http://notexample.org/es/1", "allow", "org/"),
         (4, "http://x.com/fr/1", "allow", "com/fr/"), (5, "http://x.com/de/", "block", "com/de/"), (6, None, None, None), (7, "nonsense", None, None), (8, "http://h.net", None, None), (9, "http://h.net#f/de/", None, None), (10, "a://b://c/d", None, None), (11, "", None, None), (12, "http://x.com/de/", "block", "com/de/"),
     ]
-    data += [(100 + k, f"http://big.net/a{chr(97 + k % 26)}{chr(97 + k // 26)}/{k}", None, None) for k in range(80)]
+    name = lambda k: chr(97 + k % 26) + chr(97 + k // 26)
+    data += [(100 + k, f"http://big.net/a{name(k)}/{k}", None, None) for k in range(80)]
+    # a host of both labels: many rare sections, and a deep path that only its last segments part
+    wide = (("w.net", "/ok/", "allow"), ("w.net", "/a/b/c/d/bad/", "block"), ("w.net", "/a/b/c/d/good/", "allow"))
+    data += [(300 + k, f"http://w.net/ok/{name(k)}", None, None) for k in range(90)] + [(400 + k, f"http://w.net/{name(k)}/x{k}", None, None) for k in range(60)]
+    data += [(500 + k, f"http://w.net/a/b/c/d/{('bad', 'good')[k % 2]}/{name(k)}", None, None) for k in range(40)]
+    data += [(600, "http://w.net/a/b/c/d/bad", None, None), (601, "http://w.net/a/b/c/d/good", None, None), (602, "http://w.net/a/b/c/d/bad/", None, None)]
     df = spark.createDataFrame([d[:2] for d in data], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: r for r in urls.judge_urls(df).collect()}
     assert len(got) == len(data)
     for i, _, verdict, rule in data:
         assert got[i].rule == rule and got[i].verdict in ("allow", "block") and (verdict is None or got[i].verdict == verdict)
     assert (got[8].host, got[8].path) == ("h.net", "") and (got[9].host, got[9].path) == ("h.net", "") and (got[10].host, got[10].path) == ("b:", "//c/d") and (got[6].host, got[7].path) == ("", "")
-    assert {got[100 + k].template for k in range(80)} == {"big.net/*/*/"}
+    assert {got[100 + k].template for k in range(80)} == {"big.net"}
+    deep = {r.page_id: r for r in urls.judge_urls(df, rules=(*urls.RULES, *wide)).collect()}
+    assert deep[600].verdict == "block" and deep[601].verdict == "allow" and deep[600].rule is None
+    assert deep[600].template == "w.net/a/b/c/d/bad" and deep[400].template == "w.net/*" and deep[300].template == "w.net/ok"
     assert urls.judge_urls(df.limit(0)).count() == 0
-
-
+    assert urls.judge_urls(df, rules=()).where("rule is not null or verdict <> 'allow'").count() == 0
+    assert urls.judge_urls(df.union(df.limit(5))).count() == len(data) + 5
+
+
+def test_urls_equal_sql(spark, monkeypatch):
+    rng = random.Random(17)
+    hosts = ["example.org", "a.example.org", "h.com", "x.h.com", "z.net", "", "deep.com"]
+    parts = ["es", "en", "1", "12", "fr", "de", "a", "b", "c1", "", "d", "en1"]
+    data = [(i, rng.choice(["http://", "x://", ""]) + rng.choice(hosts) + rng.choice(["", "/"]) + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) + rng.choice(["", "?q=/de/", "#f"])) for i in range(700)]
+    data += [(700 + i, f"http://h.com/{rng.choice(['fr', 'de', 'q'])}/{'s' * (1 + i % 70)}") for i in range(300)] + [(2000, None), data[0]]
+    more = (("h.com", "/a/b/", "block"), ("h.com", "/a/", "allow"), ("h.com", "/b/", "block"), ("deep.com", "/a/b/d/", "block"), ("deep.com", "/a/b/a/", "allow"))
+    monkeypatch.setattr(urls, "RULES", (*urls.RULES, *more))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", data)
+    sql = urls.URLS_SQL
+    for of in ("rule", "verdict"):
+        sql = sql.replace(CASES[of], urls._case(of))
+    want = Counter(con.sql(sql).fetchall())
+    df = spark.createDataFrame(data, "page_id long, url string").repartition(3)
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict, r.template, r.share) for r in urls.judge_urls(df, rules=urls.RULES).collect())
+    assert got == want and len({r[5] for r in want}) > 20
+
+
+CASES = {of: urls._case(of) for of in ("rule", "verdict")}
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy <div>this</div></div>%s<article><h1>Title &amp; more</h1><p>One<b>two</b>\n three&nbsp;x<br>four &am <p>five<aside>side</aside><div class="comments"><p>first!</p></div></article><footer>&copy; host</footer></body></html>"""
 
@@ -484,7 +532,34 @@ def test_extraction(spark):
     assert all(by[10 + k] == f"Unique words of page {k} stand here" for k in range(3))
     assert by[20].startswith("These words")  # another host, and its one page twice
     assert extract_text(df.limit(0)).count() == 0
-    assert blocks("<p>x</p>") == [("undecided", "x")]
+    assert blocks("<p>x</p>") == [(b"o", "x")]
+
+
+def test_extraction_keeps_article_text():
+    words_of = lambda page: [t for k, t in blocks(page) if k == b"m"]
+    kept = "<article><p class='notice-period'>Two weeks</p><p><span class='share-price'>12</span> <math><mi>x</mi></math> <button>go</button> <b class=header-less>b</b></p></article>"
+    assert words_of(kept) == ["Two weeks", "12 x go b"]
+    gone = "<article>a<div class='cookie-notice box'>c</div><div id=comments>d</div><span class=ad>e</span><form>f<button>g</button></form><aside>h</aside>z</article>"
+    assert words_of(gone) == ["a", "z"]
+    assert [t for _, t in blocks("x <y and no end")] == ["x <y and no end"] and [t for _, t in blocks("a <b title='x>y</b> c")] == ["a y c"]
+    for hostile in ("<a '", "<a <a ", "<textarea>", "<!--", '<a "\'', "<nav>", "&amp", "<script>"):
+        assert len(blocks(hostile * 20000 + "'")) < 30000
+
+
+def test_extraction_equals_brute_force(spark):
+    rng = random.Random(31)
+    shared = [text(n, rng) for n in (3, 8, 12, 25)] + ["\u00e9t\u00e9 " * 12]
+    pages = []
+    for i in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.6 else text(rng.randint(1, 20), rng) for _ in range(rng.randint(0, 6))]
+        tags = [rng.choice(["<p>%s</p>", "<div class=nav>%s</div>", "<article>%s</article>", "<div>%s</div>"]) for _ in parts]
+        pages.append((i, f"http://h{i % 3}.com/", "".join(t % p for t, p in zip(tags, parts))))
+    pages.append((60, "http://h1.com/", "<p>" + text(4000, rng) + " " + shared[3] + "</p>"))
+    df = spark.createDataFrame(pages + pages[:2], "page_id long, url string, html string").repartition(4)
+    got = extract_text(df).collect()
+    want = brute_extract(pages)
+    assert len(got) == 63 and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+    assert sum(r.repeated for r in got) > sum(r.by_mark for r in got) > 0
 
 
 def test_language(spark, none):
@@ -504,6 +579,21 @@ def test_language(spark, none):
     assert langid.identify_documents(df.withColumn("lang", F.lit(None).cast("string"))).where("accepted").count() == 0
 
 
+def test_language_equals_brute_force(spark):
+    rng = random.Random(9)
+    kinds = {"en": "the of and ing tion wh", "DE": "der die und sch ung ein", "fr": "le la les que eau eux"}
+    data = []
+    for i in range(90):
+        lang = ("en", "DE", "fr")[i % 3]
+        t = " ".join("".join(rng.choice(kinds[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 6)))
+        data.append((i, t, rng.choice([lang, lang.lower(), " " + lang.upper(), "en", None, "", "xx"]), rng.choice(["a.b.c", "x.b.c", "c", "b.c", "solo", None, "y.d.c"])))
+    data += [(100, None, "en", "solo"), (101, "12 !", "fr", "c"), data[0]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: (r.language, r.accepted) for r in langid.identify_documents(df).collect()}
+    want = brute_language([r[1:] for r in data])
+    assert {r[0]: (got[r[0]][0].strip().lower(), got[r[0]][1]) for r in data} == {r[0]: w for r, w in zip(data, want, strict=True)}
+
+
 def test_rare_languages_are_classes(spark):
     rng = random.Random(8)
     make = lambda parts, n: " ".join("".join(rng.choice(parts.split()) for _ in range(rng.randint(1, 3))) for _ in range(n))
