@@ -298,11 +298,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, acro
     if masks:
         each = reduce(DataFrame.union, masks).groupBy("p_anchor", "p_run").agg(F.collect_list("part").alias("parts"))  # at most a part for each start and step
         parts = parts.union(each.mapInArrow(joined, "anchor long, run long, mask binary"))
-    parts = materialize(parts, "masks").select(F.col("anchor").alias("p_anchor"), F.col("run").alias("p_run"), "mask")
-    whole = kinds.where("many").select(F.col("anchor").alias("k_anchor"), F.col("run").alias("k_run"))
-    a = several.join(whole, (F.col("anchor") == F.col("k_anchor")) & (F.col("run") == F.col("k_run"))).select("rid", "tag", "pos", F.lit(None).cast("binary").alias("mask"))
-    b = several.join(parts, (F.col("anchor") == F.col("p_anchor")) & (F.col("run") == F.col("p_run"))).select("rid", "tag", "pos", "mask")
-    return alone.union(a).union(b).dropDuplicates(["rid", "tag", "pos"])
+    # a run is repeated as a whole, or where its mask says
+    whole = kinds.where("many").select("anchor", "run", F.lit(None).cast("binary").alias("mask"))
+    marks = materialize(whole.union(parts), "masks").select(F.col("anchor").alias("m_anchor"), F.col("run").alias("m_run"), "mask")
+    spans = several.join(marks, (F.col("anchor") == F.col("m_anchor")) & (F.col("run") == F.col("m_run"))).select("rid", "tag", "pos", "mask").union(alone)
+    again = docs.groupBy("rid", "tag").count().where("count > 1").limit(1).count()
+    return spans.dropDuplicates(["rid", "tag", "pos"]) if again else spans
 
 
 def intervals(pos: np.ndarray, mask: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndarray]:
