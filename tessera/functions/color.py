@@ -1,4 +1,4 @@
-"""Colour conversions as integer expressions: no Python on the rows."""
+"""Colour conversions as integer expressions: no Python on the rows. Their coefficients are fixed values of the format."""
 
 from __future__ import annotations
 

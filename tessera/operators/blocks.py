@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def layout(w: Column, h: Column, small: int, macro: int) -> tuple[Column, Column, Column, Column]:
+def layout(w: Column, h: Column, small: int | Column, macro: int | Column) -> tuple[Column, Column, Column, Column]:
     """Width and height in whole small blocks, and of the part in whole macro blocks."""
     cut = lambda v, s: (F.floor(v / s) * s).cast("int")
     w4, h4 = cut(w, small), cut(h, small)
@@ -23,10 +23,6 @@ def too_small(sizes: DataFrame, small: int) -> DataFrame:
     return sizes.where((F.col("w") < small) | (F.col("h") < small))
 
 
-def _div(c: Column, n: int) -> Column:
-    return F.floor(c / n).cast("int")
-
-
 def block_values(planes: DataFrame, small: int, macro: int, spread: int) -> DataFrame:
     """(img_id, ch, region, gy, gx, sy, sx, x0, y0, side, is_macro, vals): each block's values in raster order.
 
@@ -37,20 +33,24 @@ def block_values(planes: DataFrame, small: int, macro: int, spread: int) -> Data
     p = planes.where((x < w4) & (y < h4)).withColumn("region", F.when(y >= fh, 2).when(x >= fw, 1).otherwise(0))
     grid = F.when(F.col("region") == 0, macro).otherwise(small)
     p = p.select("img_id", "ch", "region", F.floor(y / grid).cast("int").alias("gy"), F.floor(x / grid).cast("int").alias("gx"), "x", "y", "v")
-    p = p.groupBy("img_id", "ch", "region", "gy", "gx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("vals"))
-    values = F.transform("vals", lambda e: e["v"])
-    big = (F.col("region") == 0) & (F.array_max(values) - F.array_min(values) < spread)
+    # a value with its place in one number: sorted as longs, in raster order
+    placed = F.shiftleft(F.col("y").cast("long"), 36) + F.shiftleft(F.col("x").cast("long"), 8) + F.col("v")
+    p = p.groupBy("img_id", "ch", "region", "gy", "gx").agg(F.sort_array(F.collect_list(placed)).alias("raster"))
+    p = p.withColumn("vals", F.transform("raster", lambda e: e.bitwiseAND(255).cast("int")))
+    big = (F.col("region") == 0) & (F.array_max("vals") - F.array_min("vals") < spread)
     k = macro // small
 
     def part(j: int, i: int) -> Column:
-        inside = F.filter("vals", lambda e: (_div(e["y"] % macro, small) == j) & (_div(e["x"] % macro, small) == i))
+        inside = F.array(*(F.get("vals", F.lit((j * small + y) * macro + i * small + x)) for y in range(small) for x in range(small)))
         return F.struct(F.lit(j).alias("sy"), F.lit(i).alias("sx"), inside.alias("vals"))
 
     parts = F.array(*(part(j, i) for j in range(k) for i in range(k)))
     whole = F.array(F.struct(F.lit(0).alias("sy"), F.lit(0).alias("sx"), F.col("vals").alias("vals")))
     p = p.withColumn("is_macro", big.cast("int")).withColumn("part", F.explode(F.when((F.col("region") > 0) | big, whole).otherwise(parts)))
-    first = F.col("part.vals")[0]
-    return p.select("img_id", "ch", "region", "gy", "gx", "part.sy", "part.sx", first["x"].alias("x0"), first["y"].alias("y0"), F.sqrt(F.size("part.vals")).cast("int").alias("side"), "is_macro", F.transform("part.vals", lambda e: e["v"]).alias("vals"))
+    first = F.col("raster")[0]
+    x0 = (F.shiftright(first, 8).bitwiseAND((1 << 28) - 1) + F.col("part.sx") * small).cast("int")
+    y0 = (F.shiftright(first, 36) + F.col("part.sy") * small).cast("int")
+    return p.select("img_id", "ch", "region", "gy", "gx", "part.sy", "part.sx", x0.alias("x0"), y0.alias("y0"), F.sqrt(F.size("part.vals")).cast("int").alias("side"), "is_macro", "part.vals")
 
 
 def fit(blocks: DataFrame) -> DataFrame:
@@ -88,7 +88,12 @@ def encode_blocks(planes: DataFrame, small: int, macro: int, spread: int) -> Dat
     return number(fit(block_values(planes, small, macro, spread)))
 
 
-def with_size(planes: DataFrame) -> DataFrame:
-    """Adds w and h of each image, from its largest coordinates."""
-    size = planes.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).withColumnRenamed("img_id", "s_img")
-    return planes.join(size, F.col("img_id") == F.col("s_img")).drop("s_img")
+def with_size(planes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds w and h of each image: from ``sizes`` (img_id, w, h), or the largest coordinates of its first plane."""
+    sizes = sizes if sizes is not None else sizes_of(planes.where("ch = 0"))
+    return planes.join(sizes.select(F.col("img_id").alias("s_img"), "w", "h"), F.col("img_id") == F.col("s_img")).drop("s_img")
+
+
+def sizes_of(pixels: DataFrame) -> DataFrame:
+    """(img_id, w, h) from the largest coordinates."""
+    return pixels.groupBy("img_id").agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import running
+
 #: Fixed value of the format: the magic bytes.
 MAGIC = "424142450A"
 
@@ -27,8 +29,9 @@ def join_bytes(values: DataFrame) -> DataFrame:
 def size_bits(blocks: DataFrame) -> DataFrame:
     """A bit a macro block: 1 if it is whole."""
     m = blocks.where((F.col("region") == 0) & (F.col("sy") == 0) & (F.col("sx") == 0))
-    rank = F.row_number().over(Window.partitionBy("img_id", "ch").orderBy("gy", "gx")) - 1
-    return m.select("img_id", "ch", rank.alias("pos"), F.col("is_macro").alias("bit"))
+    wide = m.groupBy(F.col("img_id").alias("m_img"), F.col("ch").alias("m_ch")).agg((F.max("gx") + 1).alias("across"))
+    m = m.join(wide, (F.col("img_id") == F.col("m_img")) & (F.col("ch") == F.col("m_ch")))
+    return m.select("img_id", "ch", (F.col("gy") * F.col("across") + F.col("gx")).alias("pos"), F.col("is_macro").alias("bit"))
 
 
 def type_bits(blocks: DataFrame) -> DataFrame:
@@ -36,29 +39,26 @@ def type_bits(blocks: DataFrame) -> DataFrame:
 
 
 def pattern_bits(blocks: DataFrame) -> DataFrame:
-    p = blocks.where("is_pattern = 1")
-    before = Window.partitionBy("img_id", "ch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("at", F.coalesce(F.sum(F.col("side") * F.col("side")).over(before), F.lit(0)))
+    p = running(blocks.where("is_pattern = 1"), "seq", {"at": F.col("side") * F.col("side")})
     each = F.posexplode(F.split("bits", "")).alias("k", "c")
     return p.select("img_id", "ch", "at", each).select("img_id", "ch", (F.col("at") + F.col("k")).alias("pos"), F.col("c").cast("int").alias("bit"))
 
 
 def fg_deltas(blocks: DataFrame) -> DataFrame:
     """(img_id, ch, i, v): levels as differences mod 256."""
-    w = Window.partitionBy("img_id", "ch").orderBy("seq")
-    return blocks.select("img_id", "ch", F.col("seq").alias("i"), (F.col("fg") - F.coalesce(F.lag("fg").over(w), F.lit(0))).bitwiseAND(255).alias("v"))
+    b = running(blocks.select("img_id", "ch", "seq", "fg"), "seq", last={"prev": F.col("fg")})
+    return b.select("img_id", "ch", F.col("seq").alias("i"), (F.col("fg") - F.coalesce("prev", F.lit(0))).bitwiseAND(255).alias("v"))
 
 
 def bg_deltas(blocks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("img_id", "ch").orderBy("seq")
-    p = blocks.where("is_pattern = 1")
-    return p.select("img_id", "ch", (F.row_number().over(w) - 1).alias("i"), (F.col("bg") - F.coalesce(F.lag("bg").over(w), F.lit(0))).bitwiseAND(255).alias("v"))
+    p = running(blocks.where("is_pattern = 1").select("img_id", "ch", "seq", "bg"), "seq", {"i": F.lit(1)}, {"prev": F.col("bg")})
+    return p.select("img_id", "ch", F.col("i").cast("int").alias("i"), (F.col("bg") - F.coalesce("prev", F.lit(0))).bitwiseAND(255).alias("v"))
 
 
 def delta_decode(deltas: DataFrame) -> DataFrame:
     """Running sums mod 256."""
-    w = Window.partitionBy("img_id", "ch").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.select("img_id", "ch", "i", F.sum("v").over(w).bitwiseAND(255).cast("int").alias("v"))
+    d = running(deltas, "i", {"before": F.col("v")})
+    return d.select("img_id", "ch", "i", (F.col("before") + F.col("v")).bitwiseAND(255).cast("int").alias("v"))
 
 
 def u32(n: Column) -> Column:

@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.presets import clamp
+from tessera.operators.decode import STREAMS
 from tessera.operators.planes import RATIOS
 from tessera.plans import kernel
 from tessera.plans.tables import spread
@@ -28,12 +29,23 @@ def compress(payload: bytes) -> bytes:
 
 
 def decompress(data: bytes, most: int = 1 << 30) -> bytes:
-    """All frames of ``data``, with or without their sizes; at most ``most`` bytes."""
-    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as r:
-        out = r.read(most + 1)
-    if len(out) > most or not data:
-        raise kernel.CodecError("payload too large" if data else "no zstd frame")
-    return out
+    """All frames of ``data``, with or without their sizes; at most ``most`` bytes. A frame that ends early is an error."""
+    if not data:
+        raise kernel.CodecError("no zstd frame")
+    out, size, at, one = [], 0, 0, None
+    while at < len(data) or one:
+        if at >= len(data):
+            raise kernel.CodecError("bad zstd frame")
+        one = one or zstandard.ZstdDecompressor().decompressobj()
+        part = data[at : at + (1 << 14)]
+        out.append(one.decompress(part))
+        size += len(out[-1])
+        if size > most:
+            raise kernel.CodecError("payload too large")
+        at += len(part)
+        if one.eof:
+            at, one = at - len(one.unused_data), None
+    return b"".join(out)
 
 
 def planes_of(data: bytes, w: int, h: int, kind: str, bw: bool) -> list[np.ndarray]:
@@ -116,7 +128,7 @@ def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
                         rgb = kernel.decode(decompress(data), postfilter)
                         row = (img, rgb.shape[1], rgb.shape[0], rgb.tobytes(), None)
                     except (kernel.CodecError, zstandard.ZstdError) as e:
-                        row = (img, None, None, None, str(e))
+                        row = (img, None, None, None, str(e) if isinstance(e, kernel.CodecError) else "bad zstd frame")
                 for n, v in zip(schema.names, row, strict=True):
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -124,13 +136,67 @@ def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
     return spread(encoded.select(F.col("img_id").cast("long"), "compressed")).mapInArrow(run, "img_id long, w int, h int, data binary, error string")
 
 
+def parse(payloads: DataFrame) -> DataFrame:
+    """(img_id, w, h, small, macro, error, segments) of (img_id, payload): the header and the streams of each stored channel.
+
+    segments: array of (ch, block_count, size, type, pattern, fg, bg), null where error says what stands against decoding:
+    the header, a segment's length, or streams that don't fit each other. Bytes after the last segment are ignored.
+    """
+    fields = [pa.field("ch", pa.int32()), pa.field("block_count", pa.int64()), *(pa.field(n, pa.binary()) for n in STREAMS)]
+    schema = pa.schema([("img_id", pa.int64()), *((n, pa.int32()) for n in ("w", "h", "small", "macro")), ("error", pa.string()), ("segments", pa.list_(pa.struct(fields)))])
+    streams = ",".join(f"{n}:binary" for n in STREAMS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: dict[str, list] = {n: [] for n in schema.names}
+            for img, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head, found, error = {}, None, None
+                try:
+                    head, chans = kernel.split(data or b"")
+                    for s in chans.values():
+                        kernel.verify(s, head)
+                    found = [{"ch": ch, "block_count": s["count"], **{n: s[n].tobytes() for n in STREAMS}} for ch, s in chans.items()]
+                except kernel.CodecError as e:
+                    error = str(e)
+                for n, v in zip(schema.names, (img, *(head.get(n) for n in ("w", "h", "small", "macro")), error, found), strict=True):
+                    out[n].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    rows = payloads.select(F.col("img_id").cast("long"), "payload")
+    return rows.mapInArrow(run, f"img_id long, w int, h int, small int, macro int, error string, segments array<struct<ch:int,block_count:bigint,{streams}>>")
+
+
+def streams_of(parsed: DataFrame) -> DataFrame:
+    """A row a stored channel of the payloads without error: what ``operators.decode.blocks_of`` reads."""
+    head = ["img_id", "w", "h", "small", "macro"]
+    return parsed.where("error is null").select(*head, F.explode("segments").alias("s")).select(*head, "s.*")
+
+
+def compressed(payload: Column) -> Column:
+    """A binary column as zstd frames; null stays null."""
+
+    @F.pandas_udf("binary")
+    def zstd(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else compress(bytes(b)))
+
+    return zstd(payload)
+
+
+def ratio(out_size: Column, in_size: Column) -> Column:
+    return out_size.cast("double") / in_size
+
+
+def size_text(size: Column) -> Column:
+    """Below 1 MiB in KB, else in MB, with two decimals."""
+    text = lambda unit, name: F.format_string(f"%.2f {name}", F.bround(size / unit, 2))
+    return F.when(size < 1 << 20, text(1 << 10, "KB")).otherwise(text(1 << 20, "MB"))
+
+
 def report(encoded: DataFrame, original: DataFrame) -> DataFrame:
-    """(img_id, in_size, out_size, ratio, size_text): sizes below 1 MiB in KB, else in MB; original has img_id and in_size."""
+    """(img_id, in_size, out_size, ratio, size_text) of the pictures that were encoded; original has img_id and in_size."""
     o = original.select(F.col("img_id").alias("o_img"), "in_size")
-    size = F.col("out_size")
-    text = F.when(size < 1 << 20, F.concat(F.format_number(size / 1024, 2), F.lit(" KB"))).otherwise(F.concat(F.format_number(size / (1 << 20), 2), F.lit(" MB")))
-    e = encoded.select("img_id", F.length("compressed").cast("long").alias("out_size"))
-    return e.join(o, F.col("img_id") == F.col("o_img")).select("img_id", "in_size", "out_size", (F.col("out_size") / F.col("in_size")).alias("ratio"), text.alias("size_text"))
+    e = encoded.where("compressed is not null").select("img_id", F.length("compressed").cast("long").alias("out_size"))
+    return e.join(o, F.col("img_id") == F.col("o_img")).select("img_id", "in_size", "out_size", ratio(F.col("out_size"), F.col("in_size")).alias("ratio"), size_text(F.col("out_size")).alias("size_text"))
 
 
 def register(spark: SparkSession) -> None:
@@ -158,7 +224,7 @@ def register(spark: SparkSession) -> None:
     class Segments:
         def eval(self, payload: bytes):
             for ch, s in kernel.split(bytes(payload))[1].items():
-                yield ch, s["count"], *(s[n].tobytes() for n in ("size", "type", "pattern", "fg", "bg"))
+                yield ch, s["count"], *(s[n].tobytes() for n in STREAMS)
 
     for name, f in (("zstd_compress", zstd_compress), ("zstd_decompress", zstd_decompress), ("codec_encode", codec_encode), ("codec_decode", codec_decode)):
         spark.udf.register(name, f)

@@ -1,4 +1,7 @@
-"""The codec on one image as numpy arrays, for the Arrow path: no pixel ever is a row."""
+"""The codec on one image as numpy arrays, for the Arrow path: no pixel ever is a row.
+
+The coefficients of colours and luma are fixed values of the format, as in ``functions.color``.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,8 @@ from functools import lru_cache
 import numpy as np
 
 from tessera.functions.presets import preset
-from tessera.operators.decode import MAX_MACRO, MAX_PIXELS
+from tessera.operators.decode import MAX_MACRO, MAX_PIXELS, STREAMS
+from tessera.operators.postfilter import FLAT, JUNCTION_SPREAD, RUN, SIMILAR
 from tessera.operators.streams import MAGIC
 
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # is_pattern, fg, bg, bits
@@ -122,7 +126,7 @@ def encode(chans: list[np.ndarray], quality: int) -> bytes:
     for v in chans:
         s = encode_plane(v.astype(np.int64), small, macro, spread)
         out.append(struct.pack(">I", s["count"]))
-        for name in ("size", "type", "pattern", "fg", "bg"):
+        for name in STREAMS:
             out += [struct.pack(">I", len(s[name])), s[name].tobytes()]
     return b"".join(out)
 
@@ -155,17 +159,17 @@ def split(payload: bytes) -> tuple[dict[str, int], dict[int, dict]]:
     for ch in range(3):
         if mask >> ch & 1:
             s: dict = {"count": struct.unpack(">I", take(4))[0]}
-            for name in ("size", "type", "pattern", "fg", "bg"):
+            for name in STREAMS:
                 s[name] = np.frombuffer(take(struct.unpack(">I", take(4))[0]), dtype=np.uint8)
             chans[ch] = s
     return {"small": small, "macro": macro, "mask": mask, "w": w, "h": h}, chans
 
 
-def decode_plane(s: dict, head: dict[str, int], fill: int) -> np.ndarray:
-    small, macro, w, h = head["small"], head["macro"], head["w"], head["h"]
-    w4, h4, fw, fh = layout(w, h, small, macro)
-    each, n_macros = (macro // small) ** 2, fw // macro * (fh // macro)
-    n_right, n_bottom = (w4 - fw) // small * (fh // small), w4 // small * ((h4 - fh) // small)
+def verify(s: dict, head: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which macro blocks are whole and which blocks have a mask, of streams that fit each other; raises CodecError."""
+    small, macro = head["small"], head["macro"]
+    w4, h4, fw, fh = layout(head["w"], head["h"], small, macro)
+    n_macros = fw // macro * (fh // macro)
     if len(s["fg"]) < s["count"]:
         raise CodecError("levels shorter than the block count")
     if len(s["bg"]) > s["count"]:
@@ -173,8 +177,8 @@ def decode_plane(s: dict, head: dict[str, int], fill: int) -> np.ndarray:
     if len(s["size"]) * 8 < n_macros:
         raise CodecError("size stream too short")
     big = np.unpackbits(s["size"])[:n_macros].astype(bool)
-    at_big, at_small, n = _places(big, each)
-    n += n_right + n_bottom
+    each = (macro // small) ** 2
+    n = int(big.sum()) + int((~big).sum()) * each + (w4 - fw) // small * (fh // small) + w4 // small * ((h4 - fh) // small)
     if n != s["count"]:
         raise CodecError("block count mismatch")
     if len(s["type"]) * 8 < n:
@@ -182,12 +186,26 @@ def decode_plane(s: dict, head: dict[str, int], fill: int) -> np.ndarray:
     pattern = np.unpackbits(s["type"])[:n].astype(bool)
     if pattern.sum() != len(s["bg"]):
         raise CodecError("second level count mismatch")
+    at_big, _, _ = _places(big, each)
+    used = np.where(pattern, small * small, 0)
+    used[at_big] = np.where(pattern[at_big], macro * macro, 0)
+    if len(s["pattern"]) * 8 < used.sum():
+        raise CodecError("pattern stream too short")
+    return big, pattern
+
+
+def decode_plane(s: dict, head: dict[str, int], fill: int) -> np.ndarray:
+    small, macro, w, h = head["small"], head["macro"], head["w"], head["h"]
+    w4, h4, fw, fh = layout(w, h, small, macro)
+    each, n_macros = (macro // small) ** 2, fw // macro * (fh // macro)
+    n_right, n_bottom = (w4 - fw) // small * (fh // small), w4 // small * ((h4 - fh) // small)
+    big, pattern = verify(s, head)
+    at_big, at_small, _ = _places(big, each)
+    n = len(pattern)
     side = np.full(n, small)
     side[at_big] = macro
     used = np.where(pattern, side * side, 0)
     start = np.cumsum(used) - used
-    if len(s["pattern"]) * 8 < used.sum():
-        raise CodecError("pattern stream too short")
     masks = np.unpackbits(s["pattern"])
     fg = undelta(s["fg"][:n])
     bg = fg.copy()
@@ -220,7 +238,7 @@ def decode(payload: bytes, postfilter: bool = False) -> np.ndarray:
     """(h, w, 3) bytes; bytes after the last segment are ignored."""
     head, chans = split(payload)
     rgb = to_rgb({ch: decode_plane(s, head, 128 if ch else 0) for ch, s in chans.items()})
-    return smooth_blocks(rgb, head["small"]) if postfilter else rgb
+    return deblocked(rgb, head["small"]) if postfilter else rgb
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
@@ -228,7 +246,7 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     return (299 * c[..., 0] + 587 * c[..., 1] + 114 * c[..., 2]) // 1000
 
 
-def smooth_blocks(rgb: np.ndarray, small: int) -> np.ndarray:
+def deblocked(rgb: np.ndarray, small: int) -> np.ndarray:
     h, w = rgb.shape[:2]
     if small <= 1 or w < 2 * small or h < 2 * small:
         return rgb
@@ -237,7 +255,7 @@ def smooth_blocks(rgb: np.ndarray, small: int) -> np.ndarray:
         v = out.swapaxes(0, 1) if turn else out
         at = np.arange(small, v.shape[1], small)
         a, b = v[:, at - 1], v[:, at]
-        near = (np.abs(luma(a) - luma(b)) <= 10)[..., None]
+        near = (np.abs(luma(a) - luma(b)) <= FLAT)[..., None]
         mean = (a + b) // 2
         v[:, at - 1], v[:, at] = np.where(near, mean, a), np.where(near, mean, b)
     return _junctions(out, small).astype(np.uint8)
@@ -245,10 +263,10 @@ def smooth_blocks(rgb: np.ndarray, small: int) -> np.ndarray:
 
 def _junctions(img: np.ndarray, small: int) -> np.ndarray:
     h, w = img.shape[:2]
-    light, out, radius = luma(img), img.copy(), min(small, 3)
+    light, out, radius = luma(img), img.copy(), min(small, RUN)
     ys, xs = (g.ravel() for g in np.meshgrid(np.arange(small, h, small), np.arange(small, w, small), indexing="ij"))
     c = np.stack([light[ys - 1, xs - 1], light[ys - 1, xs], light[ys, xs - 1], light[ys, xs]])
-    soft = c.max(axis=0) - c.min(axis=0) <= 32
+    soft = c.max(axis=0) - c.min(axis=0) <= JUNCTION_SPREAD
     ys, xs = ys[soft], xs[soft]
 
     def run(steps) -> np.ndarray:
@@ -257,7 +275,7 @@ def _junctions(img: np.ndarray, small: int) -> np.ndarray:
             for (y, x), (cy, cx) in steps(i):
                 inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
                 y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
-                going = going & inside & (np.abs(light[y, x] - light[cy, cx]) <= 8)
+                going = going & inside & (np.abs(light[y, x] - light[cy, cx]) <= SIMILAR)
             n += going
         return n
 

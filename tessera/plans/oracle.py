@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.functions.presets import preset
-
+#: Small block, macro block and spread of the qualities used here, apart from the library's own.
+SIZES = {0: (4, 8, 64), 20: (3, 6, 64), 40: (2, 4, 64), 60: (1, 3, 64), 70: (1, 3, 35), 80: (1, 2, 64), 100: (1, 2, 8)}
 SYNTHETIC = "SELECT 0::BIGINT AS img_id, x::INT AS x, y::INT AS y, (xor(17 * x, 31 * y) & 255)::INT AS r, ((43 * x + 13 * y) & 255)::INT AS g, (xor(7 * x, 11 * y) & 255)::INT AS b FROM range({w}) t(x), range({h}) u(y)"
 SMOOTH = "SELECT 0::BIGINT AS img_id, x::INT AS x, y::INT AS y, ((2 * x + y) & 255)::INT AS r, ((x + 2 * y) & 255)::INT AS g, ((x + y) & 255)::INT AS b FROM range({w}) t(x), range({h}) u(y)"
 EVENTS = "SELECT 0::BIGINT AS img_id, (event_id % 100)::INT AS x, (event_id // 100)::INT AS y, (floor(value)::BIGINT & 255)::INT AS r, (user_id & 255)::INT AS g, (second(ts) & 255)::INT AS b FROM events"
 EMBEDDINGS = "SELECT 0::BIGINT AS img_id, (i - 1)::INT AS x, vec_id::INT AS y, floor((embedding[i]::DOUBLE + 1) * 127.5)::INT AS v FROM embeddings, range(1, 65) t(i)"
-DOCUMENTS = "SELECT doc_id AS img_id, (i % 32)::INT AS x, (i // 32)::INT AS y, (unicode(substr(text, i + 1, 1)) & 255)::INT AS v FROM (SELECT doc_id, text, unnest(range(length(text) // 32 * 32)) AS i FROM documents)"
+DOCUMENTS = "SELECT doc_id AS img_id, (i % 32)::INT AS x, (i // 32)::INT AS y, (CASE WHEN i < length(text) THEN unicode(substr(text, i + 1, 1)) & 255 ELSE 0 END)::INT AS v FROM (SELECT doc_id, text, unnest(range((length(text) + 31) // 32 * 32)) AS i FROM documents)"
+GRAY_DOCUMENTS = f"SELECT img_id, x, y, v AS r, v AS g, v AS b FROM ({DOCUMENTS})"
 
 PLANES = """px AS ({px}), planes AS (
   SELECT img_id, 0 AS ch, x, y, (77 * r + 150 * g + 29 * b) >> 8 AS v FROM px {chroma})"""
@@ -22,7 +23,7 @@ def planes(px: str, bw: bool = False) -> str:
 
 def blocks(px: str, quality: int, bw: bool = False) -> str:
     """CTEs up to ``cells`` (a row a pixel, with its block) and ``blocks`` (a row a block)."""
-    s, m, spread = preset(quality)
+    s, m, spread = SIZES[quality]
     half = m // 2
     quad = f"CASE WHEN is_macro = 1 AND {m} IN (6, 8) THEN (y % {m}) // {half} * 2 + (x % {m}) // {half} ELSE 0 END"
     key = "img_id, ch, region, gy, gx, sy, sx"
@@ -79,7 +80,7 @@ segs AS (SELECT *, printf('%08X', block_count) || {body} AS segment_hex FROM (SE
 
 
 def payload(px: str, quality: int, bw: bool = False) -> str:
-    s, m, _ = preset(quality)
+    s, m, _ = SIZES[quality]
     return f"""{segments(px, quality, bw)},
 pay AS (SELECT segs.img_id, any_value(w)::INT AS w, any_value(h)::INT AS h, '424142450A{s:04X}{m:04X}{1 if bw else 7:02X}' || printf('%08X%08X', any_value(w), any_value(h)) || string_agg(segment_hex, '' ORDER BY ch) AS payload_hex
   FROM segs JOIN (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id) z ON z.img_id = segs.img_id GROUP BY segs.img_id)"""
@@ -89,13 +90,13 @@ def clamp(e: str) -> str:
     return f"greatest(0, least(255, {e}))"
 
 
-def pixels(channels: tuple[int, ...] = (0, 1, 2)) -> str:
+def pixels(channels: tuple[int, ...] = (0, 1, 2), filled: str = "filled", rgb: str = "rgb") -> str:
     """CTEs ``filled`` and ``rgb`` after ``back``: decoded pixels over the whole grid."""
     u = "(u - 128)" if 1 in channels else "0"
     v = "(v - 128)" if 2 in channels else "0"
-    return f"""filled AS (SELECT p.img_id, p.x, p.y, coalesce(max(v) FILTER (ch = 0), 0) AS yy, coalesce(max(v) FILTER (ch = 1), 128) AS u, coalesce(max(v) FILTER (ch = 2), 128) AS v
+    return f"""{filled} AS (SELECT p.img_id, p.x, p.y, coalesce(max(v) FILTER (ch = 0), 0) AS yy, coalesce(max(v) FILTER (ch = 1), 128) AS u, coalesce(max(v) FILTER (ch = 2), 128) AS v
   FROM px p LEFT JOIN back USING (img_id, x, y) GROUP BY p.img_id, p.x, p.y),
-rgb AS (SELECT img_id, x, y, {clamp(f"yy + ((91881 * {v}) >> 16)")}::INT AS r, {clamp(f"yy - ((22554 * {u} + 46802 * {v}) >> 16)")}::INT AS g, {clamp(f"yy + ((116130 * {u}) >> 16)")}::INT AS b FROM filled)"""
+{rgb} AS (SELECT img_id, x, y, {clamp(f"yy + ((91881 * {v}) >> 16)")}::INT AS r, {clamp(f"yy - ((22554 * {u} + 46802 * {v}) >> 16)")}::INT AS g, {clamp(f"yy + ((116130 * {u}) >> 16)")}::INT AS b FROM {filled})"""
 
 
 def luma(p: str = "") -> str:
@@ -106,36 +107,38 @@ def deblock(source: str, small: int, axis: str, name: str) -> str:
     """CTE ``name``: pairs across grid lines by lag and lead along ``axis``."""
     o = "y" if axis == "x" else "x"
     w = f"WINDOW k AS (PARTITION BY img_id, {o} ORDER BY {axis})"
-    pick = lambda c: f"CASE WHEN {axis} % {small} = 0 AND {axis} > 0 AND abs({luma()} - lag({luma()}) OVER k) <= 10 THEN (lag({c}) OVER k + {c}) // 2 WHEN {axis} % {small} = {small - 1} AND abs({luma()} - lead({luma()}) OVER k) <= 10 THEN ({c} + lead({c}) OVER k) // 2 ELSE {c} END AS {c}"
-    return f"{name} AS (SELECT img_id, x, y, {', '.join(map(pick, 'rgb'))} FROM {source} {w})"
+    pick = lambda c: f"CASE WHEN NOT wide THEN {c} WHEN {axis} % {small} = 0 AND {axis} > 0 AND abs({luma()} - lag({luma()}) OVER k) <= 10 THEN (lag({c}) OVER k + {c}) // 2 WHEN {axis} % {small} = {small - 1} AND abs({luma()} - lead({luma()}) OVER k) <= 10 THEN ({c} + lead({c}) OVER k) // 2 ELSE {c} END AS {c}"
+    return f"{name} AS (SELECT img_id, x, y, {', '.join(map(pick, 'rgb'))} FROM (SELECT *, max(x) OVER (PARTITION BY img_id) + 1 >= {2 * small} AND max(y) OVER (PARTITION BY img_id) + 1 >= {2 * small} AS wide FROM {source}) {w})"
 
 
 def junctions(source: str, small: int, name: str) -> str:
-    """CTE ``name``: the junction blend, by scalar look-ups in a map of luma for each direction."""
+    """CTE ``name``: the junction blend, by joins for each corner and each step of the four runs. Pictures of fewer than two blocks stay."""
     radius = min(small, 3)
-    at = lambda dx, dy: f"JOIN {source} c{('m' if dx < 0 else 'p')}{('m' if dy < 0 else 'p')} ON c{('m' if dx < 0 else 'p')}{('m' if dy < 0 else 'p')}.x = j.x + {dx} AND c{('m' if dx < 0 else 'p')}{('m' if dy < 0 else 'p')}.y = j.y + {dy}"
-    corners = " ".join(at(dx, dy) for dx in (-1, 0) for dy in (-1, 0))
-    names = {"00": "cmm", "10": "cpm", "01": "cmp", "11": "cpp"}
-    cols = ", ".join(f"{n}.{c} AS {c}{k}" for k, n in names.items() for c in "rgb") + ", " + ", ".join(f"{luma(n + '.')} AS l{k}" for k, n in names.items())
+    corners, names = [], {"nw": (-1, -1), "ne": (0, -1), "sw": (-1, 0), "se": (0, 0)}
+    for n, (dx, dy) in names.items():
+        corners.append(f"JOIN {source} {n} ON {n}.img_id = j.img_id AND {n}.x = j.x + {dx} AND {n}.y = j.y + {dy}")
+    cols = ", ".join(f"{n}.{c} AS {c}_{n}" for n in names for c in "rgb") + ", " + ", ".join(f"{luma(n + '.')} AS l_{n}" for n in names)
 
-    def run(letter: str, sx: str, sy: str, a: str, b: str, a_at: str, b_at: str) -> str:
+    def run(letter: str, a: str, b: str, a_at: str, b_at: str) -> str:
         # the run ends before the first step whose pixel is missing or unlike
-        return f"""run{letter} AS (SELECT x AS rx, y AS ry, coalesce(min(i) FILTER (NOT ok) - 1, {radius}) AS {letter} FROM (
-  SELECT q.x, q.y, i, coalesce(abs({luma('pa.')} - {a}) <= 8 AND abs({luma('pb.')} - {b}) <= 8, false) AS ok FROM corners q CROSS JOIN range(1, {radius + 1}) t(i)
-  LEFT JOIN {source} pa ON {a_at} LEFT JOIN {source} pb ON {b_at}) GROUP BY x, y)"""
-
-    left = run("L", "", "", "l00", "l01", "pa.x = q.x - i AND pa.y = q.y - 1", "pb.x = q.x - i AND pb.y = q.y")
-    right = run("R", "", "", "l10", "l11", "pa.x = q.x - 1 + i AND pa.y = q.y - 1", "pb.x = q.x - 1 + i AND pb.y = q.y")
-    up = run("U", "", "", "l00", "l10", "pa.x = q.x - 1 AND pa.y = q.y - i", "pb.x = q.x AND pb.y = q.y - i")
-    down = run("D", "", "", "l01", "l11", "pa.x = q.x - 1 AND pa.y = q.y - 1 + i", "pb.x = q.x AND pb.y = q.y - 1 + i")
+        return f"""run{letter} AS (SELECT img_id AS ri, x AS rx, y AS ry, coalesce(min(i) FILTER (NOT ok) - 1, {radius}) AS {letter} FROM (
+  SELECT q.img_id, q.x, q.y, i, coalesce(abs({luma('pa.')} - {a}) <= 8 AND abs({luma('pb.')} - {b}) <= 8, false) AS ok FROM corners q CROSS JOIN range(1, {radius + 1}) t(i)
+  LEFT JOIN {source} pa ON pa.img_id = q.img_id AND {a_at} LEFT JOIN {source} pb ON pb.img_id = q.img_id AND {b_at}) GROUP BY img_id, x, y)"""
+
+    left = run("L", "l_nw", "l_sw", "pa.x = q.x - i AND pa.y = q.y - 1", "pb.x = q.x - i AND pb.y = q.y")
+    right = run("R", "l_ne", "l_se", "pa.x = q.x - 1 + i AND pa.y = q.y - 1", "pb.x = q.x - 1 + i AND pb.y = q.y")
+    up = run("U", "l_nw", "l_ne", "pa.x = q.x - 1 AND pa.y = q.y - i", "pb.x = q.x AND pb.y = q.y - i")
+    down = run("D", "l_sw", "l_se", "pa.x = q.x - 1 AND pa.y = q.y - 1 + i", "pb.x = q.x AND pb.y = q.y - 1 + i")
     lerp = lambda a, b, t: f"floor(({a})::DOUBLE * (1 - {t}) + ({b})::DOUBLE * {t} + 0.5)::INT"
-    blend = ", ".join(f"{lerp(lerp(f'{c}00', f'{c}10', 'across'), lerp(f'{c}01', f'{c}11', 'across'), 'down')} AS {c}" for c in "rgb")
-    return f"""corners AS (SELECT * FROM (SELECT j.x, j.y, {cols} FROM (SELECT x, y FROM {source} WHERE x > 0 AND y > 0 AND x % {small} = 0 AND y % {small} = 0) j {corners})
-  WHERE greatest(l00, l10, l01, l11) - least(l00, l10, l01, l11) <= 32),
+    blend = ", ".join(f"{lerp(lerp(f'{c}_nw', f'{c}_ne', 'across'), lerp(f'{c}_sw', f'{c}_se', 'across'), 'down')} AS {c}" for c in "rgb")
+    runs = " ".join(f"JOIN run{n} ON run{n}.ri = q.img_id AND run{n}.rx = q.x AND run{n}.ry = q.y" for n in "LRUD")
+    return f"""big AS (SELECT img_id AS big_id FROM {source} GROUP BY img_id HAVING max(x) + 1 >= {2 * small} AND max(y) + 1 >= {2 * small}),
+corners AS (SELECT * FROM (SELECT j.img_id, j.x, j.y, {cols} FROM (SELECT img_id, x, y FROM {source} JOIN big ON img_id = big_id WHERE x > 0 AND y > 0 AND x % {small} = 0 AND y % {small} = 0) j {' '.join(corners)})
+  WHERE greatest(l_nw, l_ne, l_sw, l_se) - least(l_nw, l_ne, l_sw, l_se) <= 32),
 {left}, {right}, {up}, {down},
-rects AS (SELECT q.*, L, R, U, D FROM corners q JOIN runL ON runL.rx = q.x AND runL.ry = q.y JOIN runR ON runR.rx = q.x AND runR.ry = q.y JOIN runU ON runU.rx = q.x AND runU.ry = q.y JOIN runD ON runD.rx = q.x AND runD.ry = q.y),
-drawn AS (SELECT px_ AS x, py_ AS y, jx, jy, {blend} FROM (
+rects AS (SELECT q.*, L, R, U, D FROM corners q {runs}),
+drawn AS (SELECT img_id, px_ AS x, py_ AS y, jx, jy, {blend} FROM (
   SELECT *, (px_ - (jx - L))::DOUBLE / (L + R - 1) AS across, (py_ - (jy - U))::DOUBLE / (U + D - 1) AS down FROM (
     SELECT *, x AS jx, y AS jy, unnest(range(x - L, x + R)) AS px_ FROM rects) CROSS JOIN LATERAL (SELECT unnest(range(jy - U, jy + D)) AS py_))),
-last AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY jy DESC, jx DESC) = 1),
-{name} AS (SELECT s.img_id, s.x, s.y, coalesce(l.r, s.r)::INT AS r, coalesce(l.g, s.g)::INT AS g, coalesce(l.b, s.b)::INT AS b FROM {source} s LEFT JOIN last l ON l.x = s.x AND l.y = s.y)"""
+last AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY img_id, x, y ORDER BY jy DESC, jx DESC) = 1),
+{name} AS (SELECT s.img_id, s.x, s.y, coalesce(l.r, s.r)::INT AS r, coalesce(l.g, s.g)::INT AS g, coalesce(l.b, s.b)::INT AS b FROM {source} s LEFT JOIN last l ON l.img_id = s.img_id AND l.x = s.x AND l.y = s.y)"""

@@ -35,12 +35,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def pixel_blocks(pixels: DataFrame, quality: int, bw: bool = False) -> DataFrame:
+    return B.encode_blocks(B.with_size(planes_rgb(pixels, bw), B.sizes_of(pixels)), *preset(quality))
+
+
 def event_blocks(spark: SparkSession, sf_dir: str, quality: int, bw: bool = False) -> DataFrame:
-    return B.encode_blocks(B.with_size(planes_rgb(X.events(spark, sf_dir), bw)), *preset(quality))
+    return pixel_blocks(X.events(spark, sf_dir), quality, bw)
+
+
+def document_blocks(spark: SparkSession, sf_dir: str, quality: int) -> DataFrame:
+    """Blocks of all texts as gray pictures."""
+    px = X.documents(spark, sf_dir)
+    return B.encode_blocks(B.with_size(planes_gray(px, bw=True), B.sizes_of(px)), *preset(quality))
 
 
-def picture_blocks(pixels: DataFrame, quality: int) -> DataFrame:
-    return B.encode_blocks(B.with_size(planes_rgb(pixels)), *preset(quality))
+def heads(sizes: DataFrame, quality: int) -> DataFrame:
+    """(img_id, w, h, small, macro) as a payload's header holds them."""
+    small, macro, _ = preset(quality)
+    return sizes.select("img_id", "w", "h", F.lit(small).alias("small"), F.lit(macro).alias("macro"))
 
 
 S64 = O.SYNTHETIC.format(w=64, h=48)
@@ -111,20 +123,20 @@ for _name, (_fx, _fy) in RATIOS.items():
 
 for _q in (0, 20, 40, 70, 80):
     query(f"macro_flags_q{_q}", f"{O.blocks(O.EVENTS, _q)} SELECT DISTINCT ch, gy::INT AS gy, gx::INT AS gx, is_macro FROM blocks WHERE region = 0")(
-        lambda spark, d, q=_q: B.block_values(B.with_size(planes_rgb(X.events(spark, d))), *preset(q)).where("region = 0").select("ch", "gy", "gx", "is_macro").distinct()
+        lambda spark, d, q=_q: B.block_values(B.with_size(planes_rgb(X.events(spark, d)), B.sizes_of(X.events(spark, d))), *preset(q)).where("region = 0").select("ch", "gy", "gx", "is_macro").distinct()
     )
 for _q in (0, 20, 40, 60, 70, 80, 100):
     query(f"blocks_q{_q}", f"{O.blocks(O.EVENTS, _q)} SELECT {BLOCK} FROM blocks")(lambda spark, d, q=_q: event_blocks(spark, d, q).select(*BLOCK.split(", ")))
 query("blocks_bw_q70", f"{O.blocks(O.EVENTS, 70, True)} SELECT {BLOCK} FROM blocks")(lambda spark, d: event_blocks(spark, d, 70, True).select(*BLOCK.split(", ")))
 for _q in (0, 20):
-    query(f"pattern_quadrants_q{_q}", f"{O.blocks(M64, _q)} SELECT {BLOCK} FROM blocks WHERE is_macro = 1")(lambda spark, d, q=_q: picture_blocks(X.smooth(spark), q).where("is_macro = 1").select(*BLOCK.split(", ")))
+    query(f"pattern_quadrants_q{_q}", f"{O.blocks(M64, _q)} SELECT {BLOCK} FROM blocks WHERE is_macro = 1")(lambda spark, d, q=_q: pixel_blocks(X.smooth(spark), q).where("is_macro = 1").select(*BLOCK.split(", ")))
 for _n, _f in (("size", S.size_bits), ("type", S.type_bits), ("pattern", S.pattern_bits)):
     query(f"{_n}_stream", f"{O.blocks(O.EVENTS, 40)} {O.packed(O.BITS[_n])}")(lambda spark, d, f=_f: S.pack_bits(f(event_blocks(spark, d, 40))))
 for _n, _f in (("fg", S.fg_deltas), ("bg", S.bg_deltas)):
     query(f"{_n}_delta", f"{O.blocks(O.EVENTS, 40)} {O.DELTAS[_n]}")(lambda spark, d, f=_f: f(event_blocks(spark, d, 40)))
 query("delta_roundtrip", f"{O.blocks(O.EVENTS, 60)} SELECT img_id, ch, seq AS i, fg AS v FROM blocks")(lambda spark, d: S.delta_decode(S.fg_deltas(event_blocks(spark, d, 60))))
 
-_SEGS = ("size", "type", "pattern", "fg", "bg")
+_SEGS = D.STREAMS
 query("segment_lengths", f"{O.segments(O.EVENTS, 70)} SELECT ch, block_count, {', '.join(f'(length({n}_hex) // 2)::BIGINT AS {n}_bytes' for n in _SEGS)} FROM segs")(
     lambda spark, d: S.segments(materialize(event_blocks(spark, d, 70))).select("ch", "block_count", *((F.length(f"{n}_hex") / 2).cast("long").alias(f"{n}_bytes") for n in _SEGS))
 )
@@ -135,7 +147,7 @@ query("header_hex", "SELECT q::INT AS quality, '424142450A' || printf('%04X%04X0
 
 def picture_payload(pixels: DataFrame, quality: int, w: int, h: int) -> DataFrame:
     sizes = pixels.sparkSession.createDataFrame([(0, w, h)], "img_id long, w int, h int")
-    return S.payloads(materialize(picture_blocks(pixels, quality)), sizes, *preset(quality)[:2])
+    return S.payloads(materialize(pixel_blocks(pixels, quality)), sizes, *preset(quality)[:2])
 
 
 for _q in (0, 20, 40, 60, 70, 80, 100):
@@ -149,11 +161,12 @@ def encode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("img_id", "w", "h", "raw_size", (F.col("raw_size").cast("double") / (F.col("w") * F.col("h") * 3)).alias("ratio"))
 
 
-@query("encode_documents")
+@query("encode_documents", f"""{O.payload(O.GRAY_DOCUMENTS, 70, True)} SELECT doc_id AS img_id, 32::INT AS w, ((coalesce(length(text), 0) + 31) // 32)::INT AS h, (length(payload_hex) // 2)::BIGINT AS raw_size, md5(payload_hex) AS digest,
+  CASE WHEN payload_hex IS NULL THEN 'data don''t fit the size' END AS error FROM documents LEFT JOIN pay ON doc_id = img_id""")
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a picture, encoded; texts without a whole row of pixels are error rows."""
-    e = codec.encode(images_of_documents(spark, sf_dir), 70, bw=True)
-    return e.select("img_id", "w", "h", "raw_size", F.length("compressed").cast("long").alias("size"), "error")
+    """Every text as a picture, encoded on the Arrow path; empty texts are error rows. Payloads are compared by their md5."""
+    e = codec.encode(images_of_documents(spark, sf_dir), 70, bw=True, keep_payload=True)
+    return e.select("img_id", "w", "h", "raw_size", F.md5(F.hex("payload").cast("binary")).alias("digest"), "error")
 
 
 @query("encode_report")
@@ -170,7 +183,27 @@ def encode_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("encode_too_small", "SELECT doc_id AS img_id, (length(text) // 32)::INT AS h FROM documents WHERE length(text) // 32 < 4")
+@query("report_sizes", """SELECT l_orderkey, l_linenumber, l_partkey, out_size, out_size::DOUBLE / in_size AS ratio,
+  CASE WHEN out_size < 1048576 THEN printf('%.2f KB', out_size / 1024.0::DOUBLE) ELSE printf('%.2f MB', out_size / 1048576.0::DOUBLE) END AS size_text
+  FROM (SELECT *, (l_orderkey * 37 + l_partkey * 131)::BIGINT AS out_size, (l_suppkey + 1)::BIGINT AS in_size FROM lineitem)""")
+def report_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's ratio and size text over sizes made of lineitem's keys."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") * 37 + F.col("l_partkey") * 131).cast("long").alias("out_size"), (F.col("l_suppkey") + 1).cast("long").alias("in_size"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "out_size", codec.ratio(F.col("out_size"), F.col("in_size")).alias("ratio"), codec.size_text(F.col("out_size")).alias("size_text"))
+
+
+@query("payload_rgba_events", f"""{O.payload(O.EVENTS, 60)} SELECT kind, w, h, (length(payload_hex) // 2)::BIGINT AS raw_size, md5(payload_hex) AS digest FROM pay, (VALUES ('rgb'), ('rgba'), ('nrgba')) t(kind)""")
+def payload_rgba_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events picture with alpha, stored premultiplied or straight: the bytes are taken as they are, alpha is ignored."""
+    px = X.events(spark, sf_dir)
+    out = []
+    for kind in ("rgb", "rgba", "nrgba"):
+        images = images_of(px if kind == "rgb" else px.withColumn("a", (F.col("x") * 7 + F.col("y")).bitwiseAND(255)), kind=kind)
+        out.append(codec.encode(images, 60, keep_payload=True).select(F.lit(kind).alias("kind"), "w", "h", "raw_size", F.md5(F.hex("payload").cast("binary")).alias("digest")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("encode_too_small", "SELECT doc_id AS img_id, ((coalesce(length(text), 0) + 31) // 32)::INT AS h FROM documents WHERE (coalesce(length(text), 0) + 31) // 32 < 4")
 def encode_too_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error rows of encoding all texts at quality 0."""
     return codec.encode(images_of_documents(spark, sf_dir), 0, bw=True).where("error is not null").select("img_id", "h")
@@ -184,24 +217,47 @@ def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("img_id"), F.sha2(F.expr("zstd_decompress(zstd_compress(cast(text as binary)))"), 256).alias("digest"))
 
 
-def decoded_planes(spark: SparkSession, pixels: DataFrame, quality: int, w: int, h: int) -> DataFrame:
+def decoded_planes(pixels: DataFrame, quality: int) -> DataFrame:
     """Encode to streams, and from the streams back to planes."""
-    s = materialize(S.segments(materialize(picture_blocks(pixels, quality))))
-    return D.planes_of(D.blocks_of(s, w, h, *preset(quality)[:2]))
+    s = materialize(S.segments(materialize(pixel_blocks(pixels, quality))), "segments")
+    return D.planes_of(D.blocks_of(D.streams_of(s, heads(B.sizes_of(pixels), quality))))
 
 
 for _q in (0, 20, 40, 60, 80):
-    query(f"decode_planes_q{_q}", f"{O.blocks(S65, _q)} SELECT img_id, ch, x, y, v FROM back")(lambda spark, d, q=_q: decoded_planes(spark, X.synthetic(spark, 65, 50), q, 65, 50))
+    query(f"decode_planes_q{_q}", f"{O.blocks(S65, _q)} SELECT img_id, ch, x, y, v FROM back")(lambda spark, d, q=_q: decoded_planes(X.synthetic(spark, 65, 50), q))
 
 
-def decoded(spark: SparkSession, pixels: DataFrame, quality: int, w: int, h: int, channels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    p = D.fill_margin(decoded_planes(spark, pixels, quality, w, h), X.grid(spark, w, h))
-    return pixels_of(p, channels)
+def decoded(pixels: DataFrame, quality: int, channels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    return pixels_of(D.fill_margin(decoded_planes(pixels, quality), D.grid_of(B.sizes_of(pixels))), channels)
 
 
 for _n, _c in (("rgb", (0, 1, 2)), ("bw", (0,)), ("ycb", (0, 1)), ("ycr", (0, 2))):
-    query(f"decode_{_n}", f"{O.blocks(S64, 40)}, {O.pixels(_c)} SELECT img_id, x, y, r, g, b FROM rgb")(lambda spark, d, c=_c: decoded(spark, X.synthetic(spark), 40, 64, 48, c))
-query("margin_fill", f"{O.blocks(S65, 0)}, {O.pixels()} SELECT img_id, x, y, r, g, b FROM rgb")(lambda spark, d: decoded(spark, X.synthetic(spark, 65, 50), 0, 65, 50))
+    query(f"decode_{_n}", f"{O.blocks(S64, 40)}, {O.pixels(_c)} SELECT img_id, x, y, r, g, b FROM rgb")(lambda spark, d, c=_c: decoded(X.synthetic(spark), 40, c))
+query("margin_fill", f"{O.blocks(S65, 0)}, {O.pixels()} SELECT img_id, x, y, r, g, b FROM rgb")(lambda spark, d: decoded(X.synthetic(spark, 65, 50), 0))
+
+
+@query("decode_documents", f"{O.blocks(O.GRAY_DOCUMENTS, 40, True)} SELECT img_id, count(*)::BIGINT AS n, sum(v)::BIGINT AS total, sum(v * (x + 1) * (y % 1000 + 1))::BIGINT AS weighted FROM back GROUP BY img_id")
+def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as pictures of their own sizes, to payloads and back, as relations: summed by picture."""
+    blocks = materialize(document_blocks(spark, sf_dir, 40), "blocks")
+    p = materialize(S.payloads(blocks, B.sizes_of(X.documents(spark, sf_dir)), *preset(40)[:2], bw=True), "payloads")
+    parsed = materialize(codec.parse(p.select("img_id", F.unhex("payload_hex").alias("payload"))), "parsed")
+    v = D.planes_of(D.blocks_of(codec.streams_of(parsed)))
+    return v.groupBy("img_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.sum((F.col("v") * (F.col("x") + 1) * (F.col("y") % 1000 + 1)).cast("long")).alias("weighted"))
+
+
+@query("decode_mask_bytes", f"{O.blocks(S65, 20)}, " + ", ".join(O.pixels(c, f"f{k}", f"p{k}") for k, c in enumerate(((0, 1), (0, 2)))) + " SELECT 3 AS mask, x, y, r, g, b FROM p0 UNION ALL SELECT 5, x, y, r, g, b FROM p1")
+def decode_mask_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers that hold luma and one chroma plane, which no encoder writes, decoded from their bytes."""
+    px = X.synthetic(spark, 65, 50)
+    s = materialize(S.segments(materialize(pixel_blocks(px, 20))), "segments").where("ch < 3")
+    out = []
+    for mask, channels in ((3, [0, 1]), (5, [0, 2])):
+        body = s.where(F.col("ch").isin(channels)).groupBy("img_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ch", "segment_hex"))), lambda e: e["segment_hex"]), "").alias("body"))
+        payload = body.select("img_id", F.concat(F.lit(S.MAGIC), *(F.lpad(F.hex(F.lit(v)), n, "0") for v, n in (*zip(preset(20)[:2], (4, 4)), (mask, 2), (65, 8), (50, 8))), "body").alias("payload_hex"))
+        packed = payload.select("img_id", codec.compressed(F.unhex("payload_hex")).alias("compressed"))
+        out.append(pixel_rows(codec.decode(packed)).select(F.lit(mask).alias("mask"), "x", "y", "r", "g", "b"))
+    return out[0].unionByName(out[1])
 
 
 def pixel_rows(images: DataFrame) -> DataFrame:
@@ -233,18 +289,36 @@ def codec_roundtrip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RGB = "img_id, x, y, r::INT AS r, g::INT AS g, b::INT AS b"
-query("deblock_v", f"WITH px AS ({M64}), {O.deblock('px', 4, 'x', 'f1')} SELECT {RGB} FROM f1")(lambda spark, d: P.deblock(X.smooth(spark), 4, 64, 48, "x"))
-query("deblock_hv", f"WITH px AS ({M64}), {O.deblock('px', 4, 'x', 'f1')}, {O.deblock('f1', 4, 'y', 'f2')} SELECT {RGB} FROM f2")(lambda spark, d: P.deblock(X.smooth(spark), 4, 64, 48))
-query("junctions", f"WITH px AS ({M64}), {O.junctions('px', 4, 'f3')} SELECT {RGB} FROM f3")(lambda spark, d: P.junctions(X.smooth(spark), 4, 64, 48))
-for _q in (0, 20, 40):
+_PX = ("img_id", "x", "y", "r", "g", "b")
+query("deblock_v", f"WITH px AS ({M64}), {O.deblock('px', 4, 'x', 'f1')} SELECT {RGB} FROM f1")(lambda spark, d: P.deblock(B.with_size(X.smooth(spark), B.sizes_of(X.smooth(spark))), 4, "x").select(*_PX))
+query("deblock_hv", f"WITH px AS ({M64}), {O.deblock('px', 4, 'x', 'f1')}, {O.deblock('f1', 4, 'y', 'f2')} SELECT {RGB} FROM f2")(lambda spark, d: P.deblock(B.with_size(X.smooth(spark), B.sizes_of(X.smooth(spark))), 4).select(*_PX))
+query("junctions", f"WITH px AS ({M64}), {O.junctions('px', 4, 'f3')} SELECT {RGB} FROM f3")(lambda spark, d: P.junctions(B.with_size(X.smooth(spark), B.sizes_of(X.smooth(spark))), 4).select(*_PX))
+
 
-    def _post(spark: SparkSession, sf_dir: str, q: int = _q) -> DataFrame:
-        s = preset(q)[0]
-        p = materialize(decoded(spark, X.smooth(spark, 65, 50), q, 65, 50))
-        return P.junctions(materialize(P.deblock(p, s, 65, 50)), s, 65, 50)
+def filtered(pixels: DataFrame, small: int) -> DataFrame:
+    """Both passes, written in between: a picture's pixels are read several times."""
+    p = materialize(B.with_size(pixels, B.sizes_of(pixels)), "pixels")
+    return P.junctions(materialize(P.deblock(p, small), "deblocked"), small).select(*_PX) if small > 1 else pixels
 
+
+for _q in (0, 20, 40):
     _s = preset(_q)[0]
-    query(f"postfilter_q{_q}", f"{O.blocks(O.SMOOTH.format(w=65, h=50), _q)}, {O.pixels()}, {O.deblock('rgb', _s, 'x', 'f1')}, {O.deblock('f1', _s, 'y', 'f2')}, {O.junctions('f2', _s, 'f3')} SELECT {RGB} FROM f3")(_post)
+    query(f"postfilter_q{_q}", f"{O.blocks(O.SMOOTH.format(w=65, h=50), _q)}, {O.pixels()}, {O.deblock('rgb', _s, 'x', 'f1')}, {O.deblock('f1', _s, 'y', 'f2')}, {O.junctions('f2', _s, 'f3')} SELECT {RGB} FROM f3")(
+        lambda spark, d, q=_q: filtered(materialize(decoded(X.smooth(spark, 65, 50), q), "rgb"), preset(q)[0])
+    )
+    query(f"postfilter_arrow_q{_q}", f"{O.blocks(O.SMOOTH.format(w=65, h=50), _q)}, {O.pixels()}, {O.deblock('rgb', _s, 'x', 'f1')}, {O.deblock('f1', _s, 'y', 'f2')}, {O.junctions('f2', _s, 'f3')} SELECT {RGB} FROM f3")(
+        lambda spark, d, q=_q: pixel_rows(codec.decode(codec.encode(images_of(X.smooth(spark, 65, 50)), q), postfilter=True))
+    )
+query("postfilter_q60", f"{O.blocks(O.SMOOTH.format(w=65, h=50), 60)}, {O.pixels()} SELECT {RGB} FROM rgb")(lambda spark, d: filtered(decoded(X.smooth(spark, 65, 50), 60), preset(60)[0]))
+
+
+@query("postfilter_documents", f"WITH px AS ({O.GRAY_DOCUMENTS}), {O.deblock('px', 4, 'x', 'f1')}, {O.deblock('f1', 4, 'y', 'f2')}, {O.junctions('f2', 4, 'f3')} SELECT img_id, count(*)::BIGINT AS n, sum(r)::BIGINT AS total, sum(r * (x + 1) * (y % 1000 + 1))::BIGINT AS weighted FROM f3 GROUP BY img_id")
+def postfilter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The post-filter over pictures of all texts' sizes, summed by picture."""
+    v = F.col("v")
+    px = X.documents(spark, sf_dir).select("img_id", "x", "y", v.alias("r"), v.alias("g"), v.alias("b"))
+    f = filtered(px, 4)
+    return f.groupBy("img_id").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("total"), F.sum((F.col("r") * (F.col("x") + 1) * (F.col("y") % 1000 + 1)).cast("long")).alias("weighted"))
 
 
 @query("split_channels", f"SELECT img_id, x, y, {O.clamp('(19595 * r + 38470 * g + 7471 * b + 32768) >> 16')}::INT AS y_, {O.clamp('(-11056 * r - 21712 * g + 32768 * b + 8421376) >> 16')}::INT AS cb, {O.clamp('(32768 * r - 27440 * g - 5328 * b + 8421376) >> 16')}::INT AS cr FROM ({O.EVENTS})")
@@ -253,19 +327,56 @@ def split_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.events(spark, sf_dir).select("img_id", "x", "y", y.cast("int").alias("y_"), cb.cast("int").alias("cb"), cr.cast("int").alias("cr"))
 
 
-#: Headers with one fault each, and two good ones.
+def _segment(count: int, *streams: str) -> str:
+    return f"{count:08X}" + "".join(f"{len(x) // 2:08X}{x}" for x in streams)
+
+
+#: A picture of 4 x 2 pixels at blocks of 1 and 2: a whole macro block, then four blocks of which one has a mask of a bit.
+_HEAD = "424142450A" + "0001" + "0002" + "01" + "00000004" + "00000002"
+_GOOD = _HEAD + _segment(5, "80", "00", "", "0A01010101", "")
+#: Payloads with one fault each, and good ones: headers, then the streams of a segment.
 CORRUPT = {
     0: "4241", 1: "000142450A00010002070000000100000001", 2: "424142450A0001", 3: "424142450A00000002070000000100000001", 4: "424142450A00010002060000000100000001", 5: "424142450A00040002070000000100000001",
-    6: "424142450A00020003070000000100000001", 7: "424142450A00080010070000000100000001", 8: "424142450A00010002070000000000000001", 9: "424142450A0001000207000FFFFF000FFFFF", 10: "424142450A00010002070000000100000001", 11: "424142450A000100020F0000000100000001FF",
+    6: "424142450A00020003070000000100000001", 7: "424142450A00080010070000000100000001", 8: "424142450A00010002070000000000000001", 9: "424142450A0001000207000FFFFF000FFFFF",
+    10: "424142450A00010002010000000100000001", 11: _GOOD, 12: _GOOD + "FFFF", 13: _GOOD[:-2], 14: _GOOD[:60], 15: _HEAD + _segment(5, "80", "00", "", "0A010101", ""),
+    16: _HEAD + _segment(5, "80", "00", "", "0A01010101", "000000000000"), 17: _HEAD + _segment(5, "", "00", "", "0A01010101", ""), 18: _HEAD + _segment(6, "80", "00", "", "0A0101010101", ""),
+    19: _HEAD + _segment(2, "80", "00", "", "0A01", ""), 20: _HEAD + _segment(5, "80", "", "", "0A01010101", ""), 21: _HEAD + _segment(5, "80", "80", "90", "0A01010101", ""),
+    22: _HEAD + _segment(5, "80", "80", "90", "0A01010101", "05"), 23: _HEAD + _segment(5, "80", "80", "", "0A01010101", "05"), 24: _HEAD + _segment(2, "C0", "00", "", "0A01", ""),
+    25: _HEAD + _segment(8, "00", "FF", "", "0A01010101010101", "0505050505050505"), 26: _HEAD + "0000000500000001", 27: "",
 }
 
-
-@query("decode_errors", """WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{v}')" for k, v in CORRUPT.items()) + """) t(img_id, h)),
-  f AS (SELECT *, length(h) // 2 AS n, coalesce(try_cast('0x' || substr(h, 11, 4) AS BIGINT), 0) AS s, coalesce(try_cast('0x' || substr(h, 15, 4) AS BIGINT), 0) AS m, coalesce(try_cast('0x' || substr(h, 19, 2) AS BIGINT), 0) AS mask, coalesce(try_cast('0x' || substr(h, 21, 8) AS BIGINT), 0) AS w, coalesce(try_cast('0x' || substr(h, 29, 8) AS BIGINT), 0) AS hh FROM p)
+_U = lambda at, n: f"coalesce(try_cast('0x' || substr(h, {2 * at + 1}, {2 * n}) AS BIGINT), 0)"
+#: Written apart from the DataFrame code, for payloads of one channel: the streams one after the other, bits by string.
+_ERRORS = """WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{v}')" for k, v in CORRUPT.items()) + f""") t(img_id, h)),
+  f AS (SELECT *, length(h) // 2 AS n, {_U(5, 2)} AS s, {_U(7, 2)} AS m, {_U(9, 1)} AS mask, {_U(10, 4)} AS w, {_U(14, 4)} AS hh, {_U(18, 4)} AS blocks, 22 AS a0 FROM p),
+  """ + ", ".join(f"g{k} AS (SELECT *, a{k} + 4 AS b{k + 1}, coalesce(try_cast('0x' || substr(h, 2 * a{k} + 1, 8) AS BIGINT), 0) AS n{k + 1}, a{k} + 4 + coalesce(try_cast('0x' || substr(h, 2 * a{k} + 1, 8) AS BIGINT), 0) AS a{k + 1} FROM {'f' if k == 0 else f'g{k - 1}'})" for k in range(5)) + """,
+  bits AS (SELECT *, CASE WHEN s > 0 AND m > 0 THEN (w // s * s // m) * (hh // s * s // m) ELSE 0 END AS macros, n1 * 8 AS size_bits,
+    array_to_string(list_transform(range(n1), lambda i: right('00000000' || bin(try_cast('0x' || substr(h, (2 * (b1 + i) + 1)::INT, 2) AS BIGINT)), 8)), '') AS sizes,
+    array_to_string(list_transform(range(n2), lambda i: right('00000000' || bin(try_cast('0x' || substr(h, (2 * (b2 + i) + 1)::INT, 2) AS BIGINT)), 8)), '') AS types FROM g4 WHERE n < 1000 AND w * hh < 1000),
+  c AS (SELECT *, length(replace(substr(sizes, 1, macros::INT), '0', '')) AS big, length(replace(substr(types, 1, blocks::INT), '0', '')) AS patterns FROM bits),
+  d AS (SELECT img_id AS k, big + (macros - big) * (m // greatest(s, 1)) * (m // greatest(s, 1)) + (w // greatest(s, 1)) * (hh // greatest(s, 1)) - macros * (m // greatest(s, 1)) * (m // greatest(s, 1)) AS want, patterns,
+    macros, big, types, sizes, (SELECT coalesce(sum(CASE WHEN substr(types, (b + 1)::INT, 1) = '1' THEN CASE WHEN b < macros AND macros = big THEN m * m ELSE CASE WHEN b = 0 AND substr(sizes, 1, 1) = '1' THEN m * m ELSE s * s END END ELSE 0 END), 0) FROM range(blocks) t(b)) AS used FROM c)
   SELECT img_id::BIGINT AS img_id, CASE WHEN n < 5 THEN 'too short' WHEN h NOT LIKE '424142450A%' THEN 'bad magic' WHEN n < 18 THEN 'truncated header' WHEN s = 0 OR m = 0 THEN 'zero block size' WHEN mask % 2 = 0 THEN 'no luma channel'
-    WHEN m < s OR m % s <> 0 THEN 'macro not a multiple of small' WHEN m > 8 THEN 'macro too large' WHEN w = 0 OR hh = 0 THEN 'empty image' WHEN w * hh > 268435456 THEN 'image too large' END AS error FROM f""")
-def decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.check_header(spark.createDataFrame(list(CORRUPT.items()), "img_id long, payload_hex string")).select("img_id", "error")
+    WHEN m < s OR m % s <> 0 THEN 'macro not a multiple of small' WHEN m > 8 THEN 'macro too large' WHEN w = 0 OR hh = 0 THEN 'empty image' WHEN w * hh > 268435456 THEN 'image too large'
+    WHEN n < a5 OR n < 42 THEN 'truncated segment' WHEN n4 < blocks THEN 'levels shorter than the block count' WHEN n5 > blocks THEN 'more second levels than blocks' WHEN n1 * 8 < macros THEN 'size stream too short'
+    WHEN want <> blocks THEN 'block count mismatch' WHEN n2 * 8 < blocks THEN 'type stream too short' WHEN patterns <> n5 THEN 'second level count mismatch' WHEN n3 * 8 < used THEN 'pattern stream too short' END AS error
+  FROM g4 LEFT JOIN d ON k = img_id"""
+
+
+def corrupt(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CORRUPT.items()), "img_id long, payload_hex string")
+
+
+query("decode_errors", _ERRORS)(lambda spark, d: codec.parse(corrupt(spark).select("img_id", F.unhex("payload_hex").alias("payload"))).select("img_id", "error"))
+
+
+@query("decode_errors_arrow", f"SELECT * FROM ({_ERRORS}) UNION ALL SELECT 100, 'bad zstd frame' UNION ALL SELECT 101, 'no data' UNION ALL SELECT 102, 'no zstd frame' UNION ALL SELECT 103, 'bad zstd frame'")
+def decode_errors_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same faults, and those of frames, as error rows of the Arrow path."""
+    packed = corrupt(spark).select("img_id", codec.compressed(F.unhex("payload_hex")).alias("compressed"))
+    good = codec.compress(bytes.fromhex(_GOOD))
+    bad = spark.createDataFrame([(100, bytearray(b"junk")), (101, None), (102, bytearray()), (103, bytearray(good[:-4]))], "img_id long, compressed binary")
+    return codec.decode(packed.unionByName(bad)).select("img_id", "error")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,15 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a fresh folder of this machine serves a session in one process; a cluster uses its warehouse.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        own = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        unset = tempfile.mkdtemp(prefix="tessera-") if own else f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or unset)
     return sc.getCheckpointDir()
 
 
@@ -27,9 +32,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it has fewer partitions than there are: for work that outweighs its bytes."""
+    """``df`` dealt over all cores if it is read from fewer files than there are: for work that outweighs its bytes.
+
+    The files are those of the plan: nothing runs to count them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def release(spark: SparkSession) -> None:

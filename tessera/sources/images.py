@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(img_id, origin, w, h, kind, data) of picture files; Spark's reader gives blue first, which ``to_rgb`` turns round."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """(img_id, origin, w, h, kind, data) of picture files; Spark's reader gives blue first, which ``to_rgb`` turns round.
+
+    A file that isn't a picture is a row without size, kind and data, which ``encode`` makes an error row.
+    """
+    i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    good = F.col("width") > 0
     kind = F.when(F.col("nChannels") == 1, "gray").when(F.col("nChannels") == 4, "nrgba").otherwise("rgb")
-    rows = i.select(F.xxhash64("origin").alias("img_id"), "origin", F.col("width").alias("w"), F.col("height").alias("h"), kind.alias("kind"), "data")
+    rows = i.select(F.xxhash64("origin").alias("img_id"), "origin", *(F.when(good, c).alias(n) for n, c in (("w", F.col("width")), ("h", F.col("height")), ("kind", kind), ("data", F.col("data")))))
     return to_rgb(rows)
 
 
@@ -28,6 +32,9 @@ def to_rgb(images: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index
             out = []
             for kind, data in zip(batch.column(at("kind")).to_pylist(), batch.column(at("data")).to_pylist(), strict=True):
+                if data is None:
+                    out.append(None)
+                    continue
                 n = {"gray": 1, "rgb": 3}.get(kind, 4)
                 px = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
                 out.append((px if n == 1 else px[:, [2, 1, 0, *range(3, n)]]).tobytes())
@@ -72,15 +79,21 @@ def write_files(table: DataFrame, folder: str, name_col: str, data_col: str) ->
     table.select(name_col, data_col).where(F.col(data_col).isNotNull()).foreachPartition(run)
 
 
+def with_png(decoded: DataFrame) -> DataFrame:
+    """Adds png to decoded images (w, h, data): null where there is no image."""
+    return decoded.withColumn("png", _png("w", "h", "data"))
+
+
 def write_png(decoded: DataFrame, folder: str) -> None:
     """Decoded images (img_id, w, h, data) as ``<img_id>.png``."""
-    write_files(decoded.where("error is null").select(F.concat(F.col("img_id").cast("string"), F.lit(".png")).alias("name"), _png("w", "h", "data").alias("png")), folder, "name", "png")
+    write_files(with_png(decoded).select(F.concat(F.col("img_id").cast("string"), F.lit(".png")).alias("name"), "png"), folder, "name", "png")
 
 
 def write_split(decoded: DataFrame, folder: str) -> None:
-    """Three gray pictures an image: ``_Y``, ``_Cb``, ``_Cr`` by the JFIF conversion."""
+    """Three gray pictures an image, ``_Y``, ``_Cb``, ``_Cr`` by the JFIF conversion, named by ``name`` if there is such a column, else by img_id."""
+    base = F.col("name") if "name" in decoded.columns else F.col("img_id").cast("string")
     for k, name in enumerate(("Y", "Cb", "Cr")):
-        write_files(decoded.where("error is null").select(F.concat(F.col("img_id").cast("string"), F.lit(f"_{name}.png")).alias("name"), _png("w", "h", "data", k).alias("png")), folder, "name", "png")
+        write_files(decoded.select(F.concat(base, F.lit(f"_{name}.png")).alias("name"), _png("w", "h", "data", k).alias("png")), folder, "name", "png")
 
 
 def jfif(rgb: np.ndarray) -> np.ndarray:
@@ -95,6 +108,10 @@ def _png(w: str, h: str, data: str, channel: int | None = None):
     def f(w: pd.Series, h: pd.Series, data: pd.Series) -> pd.Series:
         out = []
         for a, b, d in zip(w, h, data, strict=True):
+            if d is None:
+                out.append(None)
+                continue
+            a, b = int(a), int(b)
             rgb = np.frombuffer(bytes(d), dtype=np.uint8).reshape(b, a, 3)
             out.append(png(rgb if channel is None else jfif(rgb)[..., channel]))
         return pd.Series(out)
@@ -102,17 +119,18 @@ def _png(w: str, h: str, data: str, channel: int | None = None):
     return f(F.col(w), F.col(h), F.col(data))
 
 
-def images_of(pixels: DataFrame, w: int | None = None) -> DataFrame:
-    """(img_id, w, h, kind, data) of a pixel relation with r, g, b or v: the way from rows to arrays, an image a group."""
-    cols = ("r", "g", "b") if "r" in pixels.columns else ("v",)
+def images_of(pixels: DataFrame, kind: str | None = None) -> DataFrame:
+    """(img_id, w, h, kind, data) of a pixel relation with r, g, b (and a for the kinds rgba and nrgba) or v: the way from rows to arrays, an image a group."""
+    cols = ("v",) if "r" not in pixels.columns else ("r", "g", "b", "a") if kind in ("rgba", "nrgba") else ("r", "g", "b")
+    kind = kind or ("rgb" if len(cols) == 3 else "gray")
     # rows of pixels become strings of hex first, so an image's group holds a row a line
     line = pixels.groupBy("img_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", *cols))), lambda e: F.concat(*(F.lpad(F.hex(e[c]), 2, "0") for c in cols))), "").alias("line"), F.count(F.lit(1)).alias("n"))
     img = line.groupBy("img_id").agg(F.max("n").cast("int").alias("w"), F.count(F.lit(1)).cast("int").alias("h"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda e: e["line"]), "").alias("hex"))
-    return img.select("img_id", "w", "h", F.lit("rgb" if len(cols) == 3 else "gray").alias("kind"), F.unhex("hex").alias("data"))
+    return img.select("img_id", "w", "h", F.lit(kind).alias("kind"), F.unhex("hex").alias("data"))
 
 
 def images_of_documents(spark: SparkSession, sf_dir: str, width: int = 32) -> DataFrame:
-    """Each text as a gray picture of its code points, without pixel rows."""
+    """Each text as a gray picture of its code points, the last row filled up with zeros, without pixel rows."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("img_id"), "text")
 
     def run(batches):
@@ -122,8 +140,10 @@ def images_of_documents(spark: SparkSession, sf_dir: str, width: int = 32) -> Da
             out = {"img_id": batch.column(0).to_pylist(), "w": [], "h": [], "kind": [], "data": []}
             for t in batch.column(1).to_pylist():
                 code = np.frombuffer((t or "").encode("utf-32-le"), dtype=np.uint32)
-                h = len(code) // width
-                for n, v in (("w", width), ("h", h), ("kind", "gray"), ("data", (code[: h * width] & 255).astype(np.uint8).tobytes())):
+                h = -(-len(code) // width)
+                pixels = np.zeros(h * width, dtype=np.uint8)
+                pixels[: len(code)] = code & 255
+                for n, v in (("w", width), ("h", h), ("kind", "gray"), ("data", pixels.tobytes())):
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("kind", pa.string()), ("data", pa.binary())]))
 

@@ -36,7 +36,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, width: int = 32) -> DataFrame:
-    """Each text as a gray picture of its code points; an incomplete last row is left out."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("n", (F.floor(F.length("text") / width) * width).cast("int")).where("n > 0")
-    d = d.select(F.col("doc_id").alias("img_id"), F.posexplode(F.split(F.expr("substr(text, 1, n)"), "")).alias("i", "c"))
+    """Each text as a gray picture of its code points; the last row is filled up with zeros."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0").withColumn("n", (F.ceil(F.length("text") / width) * width).cast("int"))
+    d = d.select(F.col("doc_id").alias("img_id"), F.posexplode(F.split(F.rpad("text", F.col("n"), F.lit("\0")), "")).alias("i", "c"))
     return d.select("img_id", (F.col("i") % width).cast("int").alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), F.ascii("c").bitwiseAND(255).alias("v"))

@@ -84,3 +84,91 @@ def test_sql_functions(spark):
     p = K.encode(K.planes(synthetic(20, 18)), 70)
     s = spark.sql(f"SELECT * FROM codec_segments(X'{p.hex()}')").collect()
     assert [x.ch for x in s] == [0, 1, 2]
+
+
+def draw(spark, kind, path, w=24, h=18, alpha=False):
+    """A picture file made by the JVM's own writers."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(w, h, 2 if alpha else 1)
+    for y in range(h):
+        for x in range(w):
+            image.setRGB(x, y, ((x * 9 & 255) << 24 if alpha else 0) - (1 << 32 if alpha and x * 9 & 128 else 0) | (x * 10) << 16 | (y * 13) << 8 | (x + y))
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+def test_picture_formats_and_bad_files(spark, tmp_path):
+    for kind in ("jpg", "gif", "png", "bmp"):
+        draw(spark, kind, tmp_path / f"a.{kind}")
+    draw(spark, "png", tmp_path / "alpha.png", alpha=True)
+    (tmp_path / "broken.png").write_bytes(b"not a picture")
+    read = read_images(spark, str(tmp_path))
+    rows = {r.origin.rpartition("/")[2]: r for r in read.collect()}
+    assert len(rows) == 6 and rows["broken.png"].data is None and rows["alpha.png"].kind == "nrgba"
+    exact = bytes(rows["a.png"].data)
+    assert all((r.w, r.h) == (24, 18) for n, r in rows.items() if n != "broken.png") and exact[3:6] == bytes([10, 0, 1])
+    assert bytes(rows["a.bmp"].data) == exact
+    near = np.abs(np.frombuffer(bytes(rows["a.jpg"].data), dtype=np.uint8).astype(int) - np.frombuffer(exact, dtype=np.uint8))
+    assert near.mean() < 8
+    e = {r.img_id: r for r in codec.encode(read, 80, keep_payload=True).collect()}
+    assert sum(r.error is not None for r in e.values()) == 1 and e[rows["broken.png"].img_id].error == "no image"
+    # alpha is ignored, not multiplied
+    straight = np.frombuffer(bytes(rows["alpha.png"].data), dtype=np.uint8).reshape(18, 24, 4)[..., :3]
+    assert bytes(e[rows["alpha.png"].img_id].payload) == K.encode(K.planes(straight), 80)
+
+
+def test_one_partition_or_many(spark):
+    images = table(spark, 9)
+    one = codec.encode(images.coalesce(1), 60)
+    many = codec.encode(images.repartition(7), 60)
+    key = lambda df: sorted((r.img_id, bytes(r.compressed)) for r in df.collect())
+    assert key(one) == key(many)
+    assert sorted(map(tuple, codec.decode(one.coalesce(1), True).collect())) == sorted(map(tuple, codec.decode(many.repartition(5), True).collect()))
+
+
+def test_relational_decode_of_many_sizes(spark):
+    """Pictures of several sizes, one of them long, in one plan; blocks and offsets cross the parts of a channel."""
+    from tessera.operators import blocks as B
+    from tessera.operators import decode as D
+    from tessera.operators import prefix
+
+    sizes = [(1, 20, 18), (2, 33, 7), (3, 3, 40), (4, 130, 90)]
+    images = spark.createDataFrame([(i, w, h, "rgb", bytearray(synthetic(w, h).astype(np.uint8).tobytes())) for i, w, h in sizes], "img_id long, w int, h int, kind string, data binary")
+    encoded = codec.encode(images, 40, keep_payload=True)
+    old, prefix.PART = prefix.PART, 64
+    try:
+        got = D.planes_of(D.blocks_of(codec.streams_of(codec.parse(encoded.select("img_id", "payload"))))).collect()
+    finally:
+        prefix.PART = old
+    planes = {}
+    for r in got:
+        planes.setdefault((r.img_id, r.ch), {})[r.x, r.y] = r.v
+    for r in encoded.collect():
+        head, chans = K.split(bytes(r.payload))
+        w4, h4, _, _ = K.layout(r.w, r.h, head["small"], head["macro"])
+        for ch, s in chans.items():
+            want = K.decode_plane(s, head, 0)
+            assert planes[r.img_id, ch] == {(x, y): int(want[y, x]) for y in range(h4) for x in range(w4)}
+    assert B.sizes_of(X.synthetic(spark, 5, 4)).first().w == 5
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import pytest
+
+    from tessera.__main__ import main
+
+    draw(spark, "png", tmp_path / "one.png")
+    (tmp_path / "bad.png").write_bytes(b"no")
+    main([str(tmp_path / "*.png"), "60"], spark)
+    assert "no image" in capsys.readouterr().out and (tmp_path / "one.btc").exists() and not (tmp_path / "bad.btc").exists()
+    main([str(tmp_path / "one.png"), "80", "bw", str(tmp_path / "back" / "b.png"), "-out", str(tmp_path / "o")], spark)
+    assert (tmp_path / "o" / "one.btc").exists()
+    gray = read_images(spark, str(tmp_path / "back" / "b.png")).first()
+    px = np.frombuffer(bytes(gray.data), dtype=np.uint8).reshape(-1, 3)
+    assert (px[:, 0] == px[:, 1]).all() and (px[:, 1] == px[:, 2]).all()
+    main([str(tmp_path / "one.btc"), "-postfilter", "-out", str(tmp_path / "d")], spark)
+    assert (tmp_path / "d" / "one.png").exists() and "one.btc" in capsys.readouterr().out
+    main([str(tmp_path / "one.btc"), "-split", "-out", str(tmp_path / "s")], spark)
+    assert {p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")} == {f"one_{c}.png" for c in ("Y", "Cb", "Cr")}
+    for wrong in (["x.png", "101"], ["x.png", "seven"], ["x.png", "50", "gray"], []):
+        with pytest.raises(SystemExit):
+            main(wrong, spark)
