@@ -2,7 +2,8 @@
 
 Language ID drops documents that it rejects; SimHash keeps a row of the smallest doc_id of each group; suffix-array dedup cuts
 strings of 200 bytes that stand more than once; decontamination drops documents that overlap a benchmark item; mixing
-says how often each document is taken. All stages but the last return the columns of documents.
+says how often each document is taken. All stages but the last return the columns of documents. An empty table gives an
+empty result at every stage, and other columns than those of documents are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Accepted documents. Null and empty texts have no evidence of their own and go."""
+    """Accepted documents. Null and empty texts have no evidence of their own and go; rows that repeat are judged alike and stay rows of their own."""
     return identify_documents(docs.select(*COLUMNS)).where("accepted").select(*COLUMNS)
 
 
@@ -42,19 +43,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the repeated strings; n_chars is counted anew."""
+    """All documents, without the repeated strings; n_chars is counted anew.
+
+    Null texts become empty; rows that repeat are copies of each other and lose all that is long enough.
+    """
     rows = remove_repeats(docs.select(*COLUMNS), as_text=True).withColumn("text", F.col("kept"))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
+    """Documents that overlap no benchmark item. Null and empty texts and items overlap nothing; an empty benchmark keeps all."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_overlaps(docs.select(*COLUMNS), benchmark).where(F.size("overlaps") == 0).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many copies of each document the mix takes."""
+    """How many copies of each document the mix takes. Null texts have no words; a null source is one of its own; ties go by doc_id, then by a hash of the text."""
     return mix(docs)
 
 
@@ -66,7 +70,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Fingerprints, suffix orders and spaced seeds are beyond SQL: the pipeline is tested against a brute-force version.
+#: Fingerprints, suffix orders and spaced seeds are beyond SQL: the pipeline is held against a brute-force version in tests/llm.
 ORACLE_SQL = None
 
 
