@@ -13,7 +13,10 @@ LIMIT = 3
 #: Hex digits of the salt within a size class: a source's rows of one class are ranked in 256 parts.
 SALT_DIGITS = 2
 #: Offsets of a source that are drawn; the one whose copies come nearest to the target in words is added.
-OFFSETS = 32
+OFFSETS = 16
+#: Hundredths by which a source's expected copies are then raised or lowered, first those that change least: a few long documents
+#: can leave its words off the target at any offset.
+SCALES = (0, -2, 2, -4, 4, -6, 6, -9, 9, -12, 12, -16, 16, -20, 20)
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +56,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Each row expects target / source_size copies; the expectations are summed within the source in the order of (size
     class, salt, doc_id, mark), one offset a source is added, and a copy is emitted for each integer crossed. The offset
     is the one of OFFSETS, evenly spaced from a random one (by ``seed`` and source), whose words come nearest to the target, ties to
-    the first. Counts by (source, class, salt) are summed first, so no task ranks a whole source. Salt and mark are a hash of
+    the first; then all of a source's expectations are scaled by the one of SCALES that comes nearest. Counts by (source, class, salt) are summed first, so no task ranks a whole source. Salt and mark are a hash of
     doc_id and text, so null or repeated ids share no window unless their texts are equal too. Null texts have size 0; a
     source without words has target 0 and gives no copies; null is a source of its own; rows that repeat are rows of
     their own; an empty table gives an empty result. Other columns are not read.
@@ -80,20 +83,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     r = materialize(r.select("doc_id", "source", "size", (F.col("ahead") + F.col("rank")).alias("rank"), "rate", "first"), "ranked")
     rank = F.col("rank")
 
-    def copies(offset: Column) -> Column:
+    def copies(offset: Column, scale: Column) -> Column:
         # rounding alone could add a copy beyond the limit
-        n = F.floor(rank * F.col("rate") + offset) - F.floor((rank - 1) * F.col("rate") + offset)
+        rate = F.least(F.col("rate") * scale, F.lit(float(limit)))
+        n = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
         return F.least(n, F.lit(limit).cast("long"))
 
+    def nearest(rows: DataFrame, keep: list[str], choices: list[tuple[Column, Column]], name: str, pick: int) -> DataFrame:
+        """For each source, the choice of (offset, scale) whose words come nearest to the target; its ``pick``-th part as ``name``."""
+        sums = rows.groupBy(F.col("source").alias("o_source")).agg(*(F.first(c).alias(c) for c in keep), *(F.sum(copies(*c) * F.col("size")).alias(f"w{j}") for j, c in enumerate(choices)))
+        sums = sums.join(goal.select("g_source", "source_size", "target"), F.col("o_source").eqNullSafe(F.col("g_source")))
+        tried = (F.struct(F.abs(F.col(f"w{j}").cast("double") - F.col("target")).alias("d"), F.lit(j).alias("j"), c[pick].alias("u")) for j, c in enumerate(choices))
+        return materialize(sums.select("g_source", "source_size", "target", *(k for k in keep if k != "first"), F.array_min(F.array(*tried))["u"].alias(name)), "offsets")
+
     def offset(j: int) -> Column:
         u = F.col("first") + F.lit(j / OFFSETS)
         return F.when(u >= 1, u - 1).otherwise(u)
 
-    sums = r.groupBy(F.col("source").alias("o_source")).agg(F.first("first").alias("first"), *(F.sum(copies(offset(j)) * F.col("size")).alias(f"w{j}") for j in range(OFFSETS)))
-    sums = sums.join(goal.select("g_source", "source_size", "target"), F.col("o_source").eqNullSafe(F.col("g_source")))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{j}").cast("double") - F.col("target")).alias("d"), F.lit(j).alias("j"), offset(j).alias("u")) for j in range(OFFSETS))))["u"]
-    chosen = materialize(sums.select("g_source", "source_size", "target", best.alias("offset")), "offsets")
-    r = r.join(chosen, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("copies", copies(F.col("offset")))
+    one = F.lit(1.0)
+    at = nearest(r, ["first"], [(offset(j), one) for j in range(OFFSETS)], "offset", 0)
+    r = r.join(at.select("g_source", "offset"), F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
+    chosen = nearest(r, ["offset"], [(F.col("offset"), F.lit(1.0 + c / 100)) for c in SCALES], "scale", 1).drop("offset")
+    r = r.join(chosen, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("copies", copies(F.col("offset"), F.col("scale")))
     return r.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -125,13 +136,21 @@ drawn AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
   FROM ranked JOIN goal ON source IS NOT DISTINCT FROM g_source),
 offsets AS (
-  SELECT g_source AS o_source, target AS o_target, j, CASE WHEN u + j / 32.0::DOUBLE >= 1 THEN u + j / 32.0::DOUBLE - 1 ELSE u + j / 32.0::DOUBLE END AS o FROM goal, range(32) t(j)),
+  SELECT g_source AS o_source, target AS o_target, j, CASE WHEN u + j / 16.0::DOUBLE >= 1 THEN u + j / 16.0::DOUBLE - 1 ELSE u + j / 16.0::DOUBLE END AS o FROM goal, range(16) t(j)),
 tried AS (
-  SELECT o_source, j, o, abs(CAST(sum(least(CAST(floor(rnk * rate + o) AS BIGINT) - CAST(floor((rnk - 1) * rate + o) AS BIGINT), 3) * size) AS DOUBLE) - any_value(o_target)) AS miss
+  SELECT o_source, j, o, abs(CAST(sum(least(CAST(floor(rnk * least(rate, 3.0::DOUBLE) + o) AS BIGINT) - CAST(floor((rnk - 1) * least(rate, 3.0::DOUBLE) + o) AS BIGINT), 3) * size) AS DOUBLE) - any_value(o_target)) AS miss
   FROM drawn JOIN offsets ON g_source IS NOT DISTINCT FROM o_source GROUP BY o_source, j, o),
-chosen AS (SELECT o_source, o FROM tried QUALIFY row_number() OVER (PARTITION BY o_source ORDER BY miss, j) = 1)
+best AS (SELECT o_source, o FROM tried QUALIFY row_number() OVER (PARTITION BY o_source ORDER BY miss, j) = 1),
+scales AS (SELECT unnest([0, -2, 2, -4, 4, -6, 6, -9, 9, -12, 12, -16, 16, -20, 20]) AS c, unnest(range(15)) AS j),
+scaled AS (
+  SELECT o_source, o, j, least(rate * (1.0::DOUBLE + c / 100.0::DOUBLE), 3.0::DOUBLE) AS r2, target AS s_target, doc_id, size, rnk
+  FROM drawn JOIN best ON g_source IS NOT DISTINCT FROM o_source, scales),
+weighed2 AS (
+  SELECT o_source, o, j, any_value(r2) AS r2, abs(CAST(sum(least(CAST(floor(rnk * r2 + o) AS BIGINT) - CAST(floor((rnk - 1) * r2 + o) AS BIGINT), 3) * size) AS DOUBLE) - any_value(s_target)) AS miss
+  FROM scaled GROUP BY o_source, o, j),
+chosen AS (SELECT o_source, o, r2 FROM weighed2 QUALIFY row_number() OVER (PARTITION BY o_source ORDER BY miss, j) = 1)
 SELECT doc_id, source, size, source_size, target,
-  least(CAST(floor(rnk * rate + o) AS BIGINT) - CAST(floor((rnk - 1) * rate + o) AS BIGINT), 3) AS copies,
-  least(CAST(floor(rnk * rate + o) AS BIGINT) - CAST(floor((rnk - 1) * rate + o) AS BIGINT), 3) * size AS taken
+  least(CAST(floor(rnk * r2 + o) AS BIGINT) - CAST(floor((rnk - 1) * r2 + o) AS BIGINT), 3) AS copies,
+  least(CAST(floor(rnk * r2 + o) AS BIGINT) - CAST(floor((rnk - 1) * r2 + o) AS BIGINT), 3) * size AS taken
 FROM drawn JOIN chosen ON source IS NOT DISTINCT FROM o_source
 """

@@ -303,7 +303,7 @@ def test_mixing(docs, none):
     for r in got:
         words_of[r.source] += r.taken
     for s in order:
-        assert abs(taken[s] - docs_of[s] * target[s] / sizes[s]) <= 1
+        assert abs(taken[s] - docs_of[s] * target[s] / sizes[s]) <= 1 + 0.2 * docs_of[s] * target[s] / sizes[s]
         # in words: within a few hundredths, or half the source's longest text
         assert abs(words_of[s] - target[s]) <= max(0.03 * target[s], 0.5 * max(r.size for r in got if r.source == s))
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
