@@ -45,9 +45,9 @@ def layout(w: int, h: int, small: int, macro: int) -> tuple[int, int, int, int]:
 
 
 def tiles(v: np.ndarray, side: int) -> np.ndarray:
-    """Blocks in raster order, a row of values each."""
+    """Blocks in raster order, a column of values each: what is done to all blocks runs along memory."""
     h, w = v.shape
-    return v.reshape(h // side, side, w // side, side).swapaxes(1, 2).reshape(-1, side * side)
+    return v.reshape(h // side, side, w // side, side).transpose(1, 3, 0, 2).reshape(side * side, -1)
 
 
 @lru_cache
@@ -61,15 +61,18 @@ def mask_order(side: int) -> np.ndarray:
 
 
 def fit(values: np.ndarray) -> Block:
-    n = values.shape[1]
-    total = values.sum(axis=1)
+    """bits has a column of stored mask bits for each block that has a mask."""
+    n, blocks = values.shape
+    if n == 1:
+        return np.zeros(blocks, dtype=bool), values[0], values[0], np.zeros((1, 0), dtype=bool)
+    total = values.sum(axis=0, dtype=np.int32)
     thr = total // n
-    mask = values >= thr[:, None]
-    ones = mask.sum(axis=1)
-    high = (values * mask).sum(axis=1)
+    mask = values >= thr.astype(values.dtype)
+    ones = mask.sum(axis=0, dtype=np.int32)
+    high = np.where(mask, values, 0).sum(axis=0, dtype=np.int32)
     fg, bg = high // np.maximum(ones, 1), (total - high) // np.maximum(n - ones, 1)
     pattern = (ones < n) & (fg != bg)
-    return pattern, np.where(pattern, fg, thr), bg, mask[:, mask_order(int(n**0.5))]
+    return pattern, np.where(pattern, fg, thr), bg, mask[:, pattern][mask_order(int(n**0.5))]
 
 
 def _places(big: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -84,36 +87,38 @@ def encode_plane(v: np.ndarray, small: int, macro: int, spread: int) -> dict[str
     w4, h4, fw, fh = layout(w, h, small, macro)
     each = (macro // small) ** 2
     whole = tiles(v[:fh, :fw], macro)
-    big = whole.max(axis=1) - whole.min(axis=1) < spread if len(whole) else np.zeros(0, dtype=bool)
-    inner = tiles_of(whole[~big], macro, small)
+    big = whole.max(axis=0) - whole.min(axis=0) < spread if whole.size else np.zeros(0, dtype=bool)
+    inner = tiles_of(whole[:, ~big], macro, small)
     at_big, at_small, n = _places(big, each)
-    parts = [(at_big, fit(whole[big]), macro), (at_small, fit(inner), small)]
+    parts = [(at_big, fit(whole[:, big]), macro), (at_small, fit(inner), small)]
     for area in (v[:fh, fw:w4], v[fh:h4, :w4]):
         values = tiles(area, small)
-        parts.append((n + np.arange(len(values)), fit(values), small))
-        n += len(values)
-    pattern, fg, bg, size = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        parts.append((n + np.arange(values.shape[1]), fit(values), small))
+        n += values.shape[1]
+    pattern, fg, bg, size = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int16), np.zeros(n, dtype=np.int16), np.zeros(n, dtype=np.int64)
     for at, (p, f, b, _), side in parts:
         pattern[at], fg[at], bg[at], size[at] = p, f, b, side * side
     used = np.where(pattern, size, 0)
     start = np.cumsum(used) - used
     masks = np.zeros(int(used.sum()), dtype=bool)
     for at, (p, _, _, bits), side in parts:
-        masks[(start[at[p]][:, None] + np.arange(side * side)).ravel()] = bits[p].ravel()
+        if bits.size:
+            masks[start[at[p]][None, :] + np.arange(side * side)[:, None]] = bits
     return {"count": n, "size": np.packbits(big), "type": np.packbits(pattern), "pattern": np.packbits(masks), "fg": deltas(fg), "bg": deltas(bg[pattern])}
 
 
 def tiles_of(whole: np.ndarray, macro: int, small: int) -> np.ndarray:
+    """The small blocks of macro blocks, those of a macro block side by side."""
     k = macro // small
-    return whole.reshape(-1, k, small, k, small).swapaxes(2, 3).reshape(-1, small * small)
+    return whole.reshape(k, small, k, small, -1).transpose(1, 3, 4, 0, 2).reshape(small * small, -1)
 
 
 def deltas(v: np.ndarray) -> np.ndarray:
-    return np.diff(v, prepend=0).astype(np.uint8) if len(v) else np.zeros(0, dtype=np.uint8)
+    return np.diff(v, prepend=v.dtype.type(0)).astype(np.uint8) if len(v) else np.zeros(0, dtype=np.uint8)
 
 
 def undelta(b: np.ndarray) -> np.ndarray:
-    return np.cumsum(b, dtype=np.int64) & 255
+    return np.cumsum(b, dtype=np.uint8)  # sums mod 256
 
 
 def encode(chans: list[np.ndarray], quality: int) -> bytes:
@@ -124,7 +129,7 @@ def encode(chans: list[np.ndarray], quality: int) -> bytes:
         raise CodecError("image smaller than a block")
     out = [bytes.fromhex(MAGIC), struct.pack(">HHBII", small, macro, 1 if len(chans) == 1 else 7, w, h)]
     for v in chans:
-        s = encode_plane(v.astype(np.int64), small, macro, spread)
+        s = encode_plane(v.astype(np.int16), small, macro, spread)
         out.append(struct.pack(">I", s["count"]))
         for name in STREAMS:
             out += [struct.pack(">I", len(s[name])), s[name].tobytes()]
@@ -206,30 +211,33 @@ def decode_plane(s: dict, head: dict[str, int], fill: int) -> np.ndarray:
     side[at_big] = macro
     used = np.where(pattern, side * side, 0)
     start = np.cumsum(used) - used
-    masks = np.unpackbits(s["pattern"])
+    masks = np.unpackbits(s["pattern"]).view(bool)
     fg = undelta(s["fg"][:n])
     bg = fg.copy()
     bg[pattern] = undelta(s["bg"])
 
     def draw(at: np.ndarray, width: int) -> np.ndarray:
-        out = np.repeat(fg[at][:, None], width * width, axis=1)
+        out = np.repeat(fg[at][None, :], width * width, axis=0)
         p = np.flatnonzero(pattern[at])
-        bits = masks[start[at[p]][:, None] + np.arange(width * width)]
-        out[p[:, None], mask_order(width)[None, :]] = np.where(bits, fg[at[p]][:, None], bg[at[p]][:, None])
+        if len(p):
+            bits = masks[start[at[p]][None, :] + np.arange(width * width)[:, None]]
+            out[mask_order(width)[:, None], p[None, :]] = np.where(bits, fg[at[p]], bg[at[p]])
         return out
 
+    def laid(blocks: np.ndarray, ah: int, aw: int, width: int) -> np.ndarray:
+        return blocks.reshape(width, width, ah // width, aw // width).transpose(2, 0, 3, 1).reshape(ah, aw)
+
     v = np.full((h, w), fill, dtype=np.uint8)
-    whole = np.zeros((n_macros, macro * macro), dtype=np.int64)
-    whole[big] = draw(at_big, macro)
-    k = macro // small
-    whole[~big] = draw(at_small, small).reshape(-1, k, k, small, small).swapaxes(2, 3).reshape(-1, macro * macro)
     if n_macros:
-        v[:fh, :fw] = whole.reshape(fh // macro, fw // macro, macro, macro).swapaxes(1, 2).reshape(fh, fw)
+        whole = np.zeros((macro * macro, n_macros), dtype=np.uint8)
+        whole[:, big] = draw(at_big, macro)
+        k = macro // small
+        whole[:, ~big] = draw(at_small, small).reshape(small, small, -1, k, k).transpose(3, 0, 4, 1, 2).reshape(macro * macro, -1)
+        v[:fh, :fw] = laid(whole, fh, fw, macro)
     at = n - n_right - n_bottom
     for count, area in ((n_right, v[:fh, fw:w4]), (n_bottom, v[fh:h4, :w4])):
         if count:
-            ah, aw = area.shape
-            area[:] = draw(np.arange(at, at + count), small).reshape(ah // small, aw // small, small, small).swapaxes(1, 2).reshape(ah, aw)
+            area[:] = laid(draw(np.arange(at, at + count), small), *area.shape, small)
         at += count
     return v
 
@@ -283,11 +291,20 @@ def _junctions(img: np.ndarray, small: int) -> np.ndarray:
     right = run(lambda i: (((ys - 1, xs - 1 + i), (ys - 1, xs)), ((ys, xs - 1 + i), (ys, xs))))
     up = run(lambda i: (((ys - i, xs - 1), (ys - 1, xs - 1)), ((ys - i, xs), (ys - 1, xs))))
     down = run(lambda i: (((ys - 1 + i, xs - 1), (ys, xs - 1)), ((ys - 1 + i, xs), (ys, xs))))
-    for y, x, l, r, u, d in zip(*(a.tolist() for a in (ys, xs, left, right, up, down)), strict=True):
-        y0, y1, x0, x1 = y - u, y - 1 + d, x - l, x - 1 + r
-        s = ((np.arange(x0, x1 + 1) - x0) / (x1 - x0))[:, None]
-        t = ((np.arange(y0, y1 + 1) - y0) / (y1 - y0))[:, None, None]
-        top = np.floor(img[y - 1, x - 1] * (1 - s) + img[y - 1, x] * s + 0.5)
-        low = np.floor(img[y, x - 1] * (1 - s) + img[y, x] * s + 0.5)
-        out[y0 : y1 + 1, x0 : x1 + 1] = np.floor(top[None] * (1 - t) + low[None] * t + 0.5)
+    # of overlapping rectangles the last point's in scan order stays; at one offset, points touch different pixels
+    owner = np.full((h, w), -1, dtype=np.int32)
+    number = np.arange(len(ys), dtype=np.int32)
+    for dy in range(-radius, radius):
+        for dx in range(-radius, radius):
+            k = np.flatnonzero((-up <= dy) & (dy < down) & (-left <= dx) & (dx < right))
+            py, px = ys[k] + dy, xs[k] + dx
+            owner[py, px] = np.maximum(owner[py, px], number[k])
+    py, px = np.nonzero(owner >= 0)
+    k = owner[py, px]
+    y, x = ys[k], xs[k]
+    s = ((px - (x - left[k])) / (left[k] + right[k] - 1))[:, None]
+    t = ((py - (y - up[k])) / (up[k] + down[k] - 1))[:, None]
+    top = np.floor(img[y - 1, x - 1] * (1 - s) + img[y - 1, x] * s + 0.5)
+    low = np.floor(img[y, x - 1] * (1 - s) + img[y, x] * s + 0.5)
+    out[py, px] = np.floor(top * (1 - t) + low * t + 0.5)
     return out
