@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.plans.tables import materialize, shared_dir  # noqa: F401
 
 #: Text bytes that a numpy kernel handles at once; a longer single text makes a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def partitions(spark: SparkSession) -> int:
@@ -25,10 +25,14 @@ def text_pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIE
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()), b"")
+        col = batch.column(batch.schema.get_field_index(column))
+        if col.null_count:
+            col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
-        off = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+        # the batch's own buffers, without a copy
+        wide = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
+        off = np.frombuffer(col.buffers()[1], dtype=wide)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         data = np.frombuffer(col.buffers()[2] or b"", dtype=np.uint8)
         at = 0
         while at < len(col):

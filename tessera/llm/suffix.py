@@ -33,7 +33,7 @@ KMER = 32
 #: Distinct runs of one anchor that are ordered together; an anchor with more is cut into cells.
 GROUP_RUNS = 512
 #: Distinct runs, of many anchors, that a task orders at once.
-BATCH_RUNS = 20_000
+BATCH_RUNS = 4096
 #: Starts of one text whose anchors are sought at once.
 WINDOW = 1 << 20
 _CELL = "p_anchor long, p_run long, j0 long, anchor long, run long, shift long, owner long, many boolean, bytes binary"
@@ -125,9 +125,9 @@ def insert_columns(
     end = begin + sizes
     symbols = np.zeros((m, columns), dtype=np.uint16)
     flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
-    row = np.repeat(np.arange(m), sizes)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
-    symbols[row, col] = flat.astype(np.uint16) + 1
+    # the place of each byte in the table of rows
+    place = np.arange(len(flat)) + np.repeat(np.arange(m) * columns + begin - (np.cumsum(sizes) - sizes), sizes)
+    symbols.ravel()[place] = flat.astype(np.uint16) + 1
     symbols = np.ascontiguousarray(symbols.T)
     repeated = np.zeros((m, room + 1), dtype=bool)
     order = np.arange(m)
