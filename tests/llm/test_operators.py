@@ -409,7 +409,7 @@ def test_toxicity(spark, docs, none):
         data.append((i, " ".join(t)))
         labels.append((i, int(toxic)))
     df = spark.createDataFrame([*data, (None, None), (900, ""), (901, LONG)], "doc_id long, text string").withColumn("score", F.lit(1))
-    lab = spark.createDataFrame([*labels, (5000, None), (None, 1)], "doc_id long, toxic int")
+    lab = spark.createDataFrame([*labels, (5000, None), (None, 1), (900, 1), (900, 0)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score_toxicity(df, lab).collect()}
     assert len(got) == 403 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
@@ -476,6 +476,7 @@ def test_urls(spark):
     wide = (("w.net", "/ok/", "allow"), ("w.net", "/a/b/c/d/bad/", "block"), ("w.net", "/a/b/c/d/good/", "allow"))
     data += [(300 + k, f"http://w.net/ok/{name(k)}", None, None) for k in range(90)] + [(400 + k, f"http://w.net/{name(k)}/x{k}", None, None) for k in range(60)]
     data += [(500 + k, f"http://w.net/a/b/c/d/{('bad', 'good')[k % 2]}/{name(k)}", None, None) for k in range(40)]
+    data += [(700, "http://w.net/" + "long/" * 4000 + "?" + "q" * 100000, None, None)]
     data += [(600, "http://w.net/a/b/c/d/bad", None, None), (601, "http://w.net/a/b/c/d/good", None, None), (602, "http://w.net/a/b/c/d/bad/", None, None)]
     df = spark.createDataFrame([d[:2] for d in data], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: r for r in urls.judge_urls(df).collect()}
@@ -587,7 +588,7 @@ def test_language_equals_brute_force(spark):
         lang = ("en", "DE", "fr")[i % 3]
         t = " ".join("".join(rng.choice(kinds[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 6)))
         data.append((i, t, rng.choice([lang, lang.lower(), " " + lang.upper(), "en", None, "", "xx"]), rng.choice(["a.b.c", "x.b.c", "c", "b.c", "solo", None, "y.d.c"])))
-    data += [(100, None, "en", "solo"), (101, "12 !", "fr", "c"), data[0]]
+    data += [(100, None, "en", "solo"), (101, "12 !", "fr", "c"), (102, " ".join(["the of and"] * 9000), None, "solo"), data[0]]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)
     got = {r.doc_id: (r.language, r.accepted) for r in langid.identify_documents(df).collect()}
     want = brute_language([r[1:] for r in data])
