@@ -99,10 +99,24 @@ def test_local_links_are_complete():
     assert fingerprint(b"") == 0
 
 
-@pytest.mark.parametrize(("crowd", "window"), [(suffix.GROUP_RUNS, suffix.WINDOW), (2, 5000)])
-def test_repeats(docs, none, crowd, window, monkeypatch):
+def test_windows_give_the_same_anchors(monkeypatch):
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    off = np.array([0, len(data)])
+
+    def each():
+        text, anchor, _, first, last, shift = suffix.runs(data, off)
+        assert not text.any()
+        return {(int(f) + k, int(a), int(s) - k) for a, f, z, s in zip(anchor, first, last, shift) for k in range(z - f + 1)}
+
+    whole = each()
+    monkeypatch.setattr(suffix, "WINDOW", 700)
+    assert each() == whole and len(whole) == 3801
+
+
+@pytest.mark.parametrize("crowd", [suffix.GROUP_RUNS, 2])
+def test_repeats(docs, none, crowd, monkeypatch):
     monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (suffix.LENGTH, suffix.KMER, False, crowd))
-    monkeypatch.setattr(suffix, "WINDOW", window)
     data = rows()
     want = Counter((r[0], *w) for r, w in zip(data, brute_repeats([r[1] for r in data], 200), strict=True))
     got = suffix.remove_repeats(docs.select("doc_id", "text", "kept", "rank"))
@@ -188,6 +202,16 @@ def test_language_model(docs, none):
     assert ngram.score_texts(docs, F.lit(True)).where("score is null or isnan(score)").count() == 0
 
 
+def test_bitmap_has_all_its_keys(spark):
+    from tessera.llm.common import Bitmap
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(2**63), 2**63, 5000)
+    bits = Bitmap(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k", len(keys))
+    assert bits.has(keys).all() and bits.has(rng.integers(-(2**63), 2**63, 20000)).mean() < 0.02
+    assert not Bitmap(spark.createDataFrame([], "k long"), "k", 0).has(keys).any()
+
+
 def test_model_equals_brute_force(docs, monkeypatch):
     rng = np.random.default_rng(6)
     weights = rng.dirichlet((1, 1, 1), ngram.BUCKETS)
