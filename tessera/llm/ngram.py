@@ -1,6 +1,6 @@
 """Deleted interpolation language model: bigram, unigram and uniform estimates mixed by context-frequency bucket.
 
-Texts are tokenised once into chunks of about a million tokens: the chunk's distinct words as 64-bit hashes and the
+Texts are tokenised once into chunks of some 700,000 tokens: the chunk's distinct words as 64-bit hashes and the
 tokens as numbers into them. Each chunk asks for the corpus counts of its distinct words and bigrams in blocks dealt out
 by hash; a block's owner sums what all chunks counted and answers each chunk in its own order. So frequent words meet
 once a chunk, not once an occurrence, and no table of counts is held whole anywhere. The mixture weights of each bucket
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import CODES, LOWER, keyed_groups, materialize, mix64, partitions, prefix_hash, span_hash, text_pieces, words
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 700_000
 #: Counts that one block's owner sums at once.
 BLOCK_KEYS = 2_000_000
 #: Tokens that one task of an exchange gets about, where the session's number of partitions would give it more.
-TASK_TOKENS = 32_000_000
+TASK_TOKENS = 16_000_000
 BUCKETS = 48
 CLASSES = 64
 EM_ROUNDS = 200
