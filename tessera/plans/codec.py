@@ -3,7 +3,7 @@ image that can't be encoded or a container that can't be decoded is a row with a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,11 +86,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_payload: bool = False) -> DataFrame:
-    """(img_id, w, h, quality, bw, raw_size, payload, compressed, error) of images (img_id, w, h, kind, data).
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    payload is null unless ``keep_payload``. Null fields and sizes that don't fit the data give an error row.
-    """
+
+def chain(rows: DataFrame, schema: str, *steps: Step) -> DataFrame:
+    """``rows`` through the steps, one after the other in the same Python worker: nothing goes back to the JVM in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return spread(rows).mapInArrow(run, schema)
+
+
+def encoder(quality: int, bw: bool, keep_payload: bool = False) -> Step:
+    """The step from images to what ``encode`` returns."""
     q = clamp(quality)
     schema = pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("quality", pa.int32()), ("bw", pa.bool_()), ("raw_size", pa.int64()), ("payload", pa.binary()), ("compressed", pa.binary()), ("error", pa.string())])
 
@@ -111,7 +122,16 @@ def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_pay
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return spread(images.select(F.col("img_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), "kind", "data")).mapInArrow(run, "img_id long, w int, h int, quality int, bw boolean, raw_size long, payload binary, compressed binary, error string")
+    return run
+
+
+def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_payload: bool = False) -> DataFrame:
+    """(img_id, w, h, quality, bw, raw_size, payload, compressed, error) of images (img_id, w, h, kind, data).
+
+    payload is null unless ``keep_payload``. Null fields and sizes that don't fit the data give an error row.
+    """
+    images = images.select(F.col("img_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), "kind", "data")
+    return chain(images, "img_id long, w int, h int, quality int, bw boolean, raw_size long, payload binary, compressed binary, error string", encoder(quality, bw, keep_payload))
 
 
 def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
@@ -136,6 +156,33 @@ def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:
     return spread(encoded.select(F.col("img_id").cast("long"), "compressed")).mapInArrow(run, "img_id long, w int, h int, data binary, error string")
 
 
+SUMS = "img_id long, n long, total long, weighted long"
+
+
+def sums_of(v: np.ndarray) -> tuple[int, int, int]:
+    """Of the values of a plane (y, x): how many, their sum, and their sum by v * (x + 1) * (y % 1000 + 1)."""
+    lines = v.astype(np.int64)
+    h, w = lines.shape
+    return v.size, int(lines.sum()), int((lines @ np.arange(1, w + 1)) @ (np.arange(h) % 1000 + 1))
+
+
+def plane_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The step from what ``encode`` returns to SUMS: containers are parsed and decoded, and what their blocks cover is summed over
+    the stored planes. What can't be encoded or decoded, or has no block, is left out."""
+    for batch in batches:
+        out: list[tuple[int, ...]] = []
+        for img, data in zip(batch.column("img_id").to_pylist(), batch.column("compressed").to_pylist(), strict=True):
+            try:
+                head, chans = kernel.split(decompress(data or b""))
+                w4, h4, _, _ = kernel.layout(head["w"], head["h"], head["small"], head["macro"])
+                each = [sums_of(kernel.decode_plane(s, head, 0)[:h4, :w4]) for s in chans.values()]
+            except (kernel.CodecError, zstandard.ZstdError):
+                continue
+            if w4 and h4:
+                out.append((img, *map(sum, zip(*each, strict=True))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["img_id", "n", "total", "weighted"])
+
+
 def parse(payloads: DataFrame) -> DataFrame:
     """(img_id, w, h, small, macro, error, segments) of (img_id, payload): the header and the streams of each stored channel.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def to_rgb(images: DataFrame) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             at = batch.schema.get_field_index
             out = []
@@ -129,22 +128,26 @@ def images_of(pixels: DataFrame, kind: str | None = None) -> DataFrame:
     return img.select("img_id", "w", "h", F.lit(kind).alias("kind"), F.unhex("hex").alias("data"))
 
 
-def images_of_documents(spark: SparkSession, sf_dir: str, width: int = 32) -> DataFrame:
-    """Each text as a gray picture of its code points, the last row filled up with zeros, without pixel rows."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("img_id"), "text")
+def text_images(batches: Iterator[pa.RecordBatch], width: int = 32) -> Iterator[pa.RecordBatch]:
+    """Images (img_id, w, h, kind, data) of rows (id, text): code points as gray pixels, the last row filled up with zeros."""
+    schema = pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("kind", pa.string()), ("data", pa.binary())])
+    for batch in batches:
+        out = {"img_id": batch.column(0).to_pylist(), "w": [], "h": [], "kind": [], "data": []}
+        for t in batch.column(1).to_pylist():
+            code = np.frombuffer((t or "").encode("utf-32-le"), dtype=np.uint32)
+            h = -(-len(code) // width)
+            pixels = np.zeros(h * width, dtype=np.uint8)
+            pixels[: len(code)] = code & 255
+            for n, v in (("w", width), ("h", h), ("kind", "gray"), ("data", pixels.tobytes())):
+                out[n].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            out = {"img_id": batch.column(0).to_pylist(), "w": [], "h": [], "kind": [], "data": []}
-            for t in batch.column(1).to_pylist():
-                code = np.frombuffer((t or "").encode("utf-32-le"), dtype=np.uint32)
-                h = -(-len(code) // width)
-                pixels = np.zeros(h * width, dtype=np.uint8)
-                pixels[: len(code)] = code & 255
-                for n, v in (("w", width), ("h", h), ("kind", "gray"), ("data", pixels.tobytes())):
-                    out[n].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("kind", pa.string()), ("data", pa.binary())]))
-
-    return d.mapInArrow(run, "img_id long, w int, h int, kind string, data binary")
+def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``text_images`` reads."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("img_id"), "text")
+
+
+def images_of_documents(spark: SparkSession, sf_dir: str, width: int = 32) -> DataFrame:
+    """Each text as a gray picture of its code points, the last row filled up with zeros, without pixel rows."""
+    return documents_of(spark, sf_dir).mapInArrow(lambda batches: text_images(batches, width), "img_id long, w int, h int, kind string, data binary")

@@ -172,3 +172,32 @@ def test_command_line(spark, tmp_path, capsys):
     for wrong in (["x.png", "101"], ["x.png", "seven"], ["x.png", "50", "gray"], []):
         with pytest.raises(SystemExit):
             main(wrong, spark)
+
+
+def odd_texts(spark, folder):
+    """A folder with documents of many lengths: null, empty, one line, lines that aren't full, and one that is long."""
+    texts = [None, "", "a", "b" * 32, "c" * 33, "d\U0001f600é" * 40, *("".join(chr(32 + (i * j * j + j // 7) % 90) for j in range(37 * i)) for i in range(1, 12)), "long line " * 3500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_documents_decoded_as_relations(spark, tmp_path):
+    """Many pictures to payloads and back with a row a pixel give the sums of the Arrow path, in whose plan no row is a pixel."""
+    from tessera.functions.presets import preset
+    from tessera.operators import blocks as B
+    from tessera.operators import decode as D
+    from tessera.operators import streams as S
+    from tessera.operators.planes import planes_gray
+    from tessera.plans.queries import decode_documents
+    from tessera.plans.tables import materialize
+
+    sf = odd_texts(spark, tmp_path)
+    px = X.documents(spark, sf)
+    sizes = B.sizes_of(px)
+    blocks = materialize(B.encode_blocks(B.with_size(planes_gray(px, bw=True), sizes), *preset(40)), "blocks")
+    p = materialize(S.payloads(blocks, sizes, *preset(40)[:2], bw=True), "payloads")
+    v = D.planes_of(D.blocks_of(codec.streams_of(materialize(codec.parse(p.select("img_id", F.unhex("payload_hex").alias("payload"))), "parsed"))))
+    want = v.groupBy("img_id").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.sum((F.col("v") * (F.col("x") + 1) * (F.col("y") % 1000 + 1)).cast("long")).alias("weighted"))
+    got = decode_documents(spark, sf)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 14
