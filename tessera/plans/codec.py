@@ -166,6 +166,10 @@ def sums_of(v: np.ndarray) -> tuple[int, int, int]:
     return v.size, int(lines.sum()), int((lines @ np.arange(1, w + 1)) @ (np.arange(h) % 1000 + 1))
 
 
+def sum_rows(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["img_id", "n", "total", "weighted"])
+
+
 def plane_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The step from what ``encode`` returns to SUMS: containers are parsed and decoded, and what their blocks cover is summed over
     the stored planes. What can't be encoded or decoded, or has no block, is left out."""
@@ -180,7 +184,28 @@ def plane_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if w4 and h4:
                 out.append((img, *map(sum, zip(*each, strict=True))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["img_id", "n", "total", "weighted"])
+        yield sum_rows(out)
+
+
+def filtered_sums(small: int) -> Step:
+    """The step from gray images to SUMS of their pixels after the post-filter; pictures of one width are filtered together.
+    Images without pixels are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for img, w, h, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if data:
+                    by_width.setdefault(w, []).append((img, planes_of(data, w, h, kind, True)[0].astype(np.uint8)))
+            out = []
+            for found in by_width.values():
+                heights = np.array([len(v) for _, v in found])
+                stack = kernel.deblocked(np.concatenate([v for _, v in found])[..., None], small, heights)[..., 0]
+                ends = np.cumsum(heights)
+                out += [(img, *sums_of(stack[to - n : to])) for (img, _), n, to in zip(found, heights, ends, strict=True)]
+            yield sum_rows(out)
+
+    return run
 
 
 def parse(payloads: DataFrame) -> DataFrame:

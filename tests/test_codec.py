@@ -201,3 +201,30 @@ def test_documents_decoded_as_relations(spark, tmp_path):
     got = decode_documents(spark, sf)
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 14
+
+
+def test_documents_filtered_as_relations(spark, tmp_path):
+    """The post-filter with a row a pixel gives the sums of the Arrow path, in whose plan no row is a pixel."""
+    from tessera.plans.queries import filtered, postfilter_documents
+
+    sf = odd_texts(spark, tmp_path)
+    v = F.col("v")
+    f = filtered(X.documents(spark, sf).select("img_id", "x", "y", v.alias("r"), v.alias("g"), v.alias("b")), 4)
+    want = f.groupBy("img_id").agg(F.count("r").alias("n"), F.sum("r").alias("total"), F.sum((F.col("r") * (F.col("x") + 1) * (F.col("y") % 1000 + 1)).cast("long")).alias("weighted"))
+    got = postfilter_documents(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 16
+
+
+def test_stacked_pictures_are_filtered_apart():
+    rng = np.random.default_rng(1)
+    for small in (2, 3, 4):
+        for w in (5, 8, 32):
+            heights = np.array([1, 7, 8, 9, 2 * small - 1, 40, 13, 8, 1])
+            img = (rng.integers(0, 12, (heights.sum(), w, 3)) + 100).astype(np.uint8)
+            ends = np.cumsum(heights)
+            got = K.deblocked(img, small, heights)
+            assert (got == np.concatenate([K.deblocked(img[b - n : b], small) for n, b in zip(heights, ends, strict=True)])).all()
+            gray = np.repeat(img[..., :1], 3, axis=-1)
+            assert (K.deblocked(gray, small, heights)[..., :1] == K.deblocked(img[..., :1], small, heights)).all()
