@@ -16,7 +16,7 @@ from tessera.functions.presets import clamp
 from tessera.operators.decode import STREAMS
 from tessera.operators.planes import RATIOS
 from tessera.plans import kernel
-from tessera.plans.tables import spread
+from tessera.plans.tables import slices, spread
 
 CHANNELS = {"rgb": 3, "gray": 1, "rgba": 4, "nrgba": 4}
 #: All kinds of image data.
@@ -79,13 +79,6 @@ def planes_of(data: bytes, w: int, h: int, kind: str, bw: bool) -> list[np.ndarr
     return kernel.planes(px[..., :3], bw)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Fewer images at once: results leave before the next are made."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -125,13 +118,16 @@ def encoder(quality: int, bw: bool, keep_payload: bool = False) -> Step:
     return run
 
 
+ENCODED = "img_id long, w int, h int, quality int, bw boolean, raw_size long, payload binary, compressed binary, error string"
+
+
 def encode(images: DataFrame, quality: int = QUALITY, bw: bool = False, keep_payload: bool = False) -> DataFrame:
     """(img_id, w, h, quality, bw, raw_size, payload, compressed, error) of images (img_id, w, h, kind, data).
 
     payload is null unless ``keep_payload``. Null fields and sizes that don't fit the data give an error row.
     """
     images = images.select(F.col("img_id").cast("long"), F.col("w").cast("int"), F.col("h").cast("int"), "kind", "data")
-    return chain(images, "img_id long, w int, h int, quality int, bw boolean, raw_size long, payload binary, compressed binary, error string", encoder(quality, bw, keep_payload))
+    return chain(images, ENCODED, encoder(quality, bw, keep_payload))
 
 
 def decode(encoded: DataFrame, postfilter: bool = False) -> DataFrame:

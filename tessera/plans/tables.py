@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
@@ -40,6 +44,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
+#: Rows of images or texts that Python handles at once, and their bytes; a single larger one is handled alone.
+SLICE_ROWS, SLICE_BYTES = 64, 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at once, as views: results leave before the next are made."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for c in batch.columns:
+            if any(is_kind(c.type) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            to = min(max(full, at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this process wrote. Results that still read them must have been written or collected."""
     jvm = spark.sparkContext._jvm

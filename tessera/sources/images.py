@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.tables import slices
+
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(img_id, origin, w, h, kind, data) of picture files; Spark's reader gives blue first, which ``to_rgb`` turns round.
@@ -131,7 +133,7 @@ def images_of(pixels: DataFrame, kind: str | None = None) -> DataFrame:
 def text_images(batches: Iterator[pa.RecordBatch], width: int = 32) -> Iterator[pa.RecordBatch]:
     """Images (img_id, w, h, kind, data) of rows (id, text): code points as gray pixels, the last row filled up with zeros."""
     schema = pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("kind", pa.string()), ("data", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches):
         out = {"img_id": batch.column(0).to_pylist(), "w": [], "h": [], "kind": [], "data": []}
         for t in batch.column(1).to_pylist():
             code = np.frombuffer((t or "").encode("utf-32-le"), dtype=np.uint32)

@@ -228,3 +228,28 @@ def test_stacked_pictures_are_filtered_apart():
             assert (got == np.concatenate([K.deblocked(img[b - n : b], small) for n, b in zip(heights, ends, strict=True)])).all()
             gray = np.repeat(img[..., :1], 3, axis=-1)
             assert (K.deblocked(gray, small, heights)[..., :1] == K.deblocked(img[..., :1], small, heights)).all()
+
+
+def test_few_images_at_once(spark, tmp_path):
+    """However many texts a batch has, Python holds the images of some; texts to rows of errors in one Python worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.plans.queries import encode_documents, encode_too_small
+    from tessera.plans.tables import SLICE_BYTES, SLICE_ROWS, slices
+    from tessera.sources.images import text_images
+
+    texts = ["x" * 3000] * 4000 + [None, "", "y" * (3 * SLICE_BYTES), "z"]
+    batch = pa.RecordBatch.from_pydict({"img_id": range(len(texts)), "text": texts}, schema=pa.schema([("img_id", pa.int64()), ("text", pa.string())]))
+    parts = list(slices(iter([batch])))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert all(p.num_rows <= SLICE_ROWS and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= SLICE_BYTES) for p in parts)
+    small = batch.slice(0, 4000)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in codec.encoder(0, bw=True)(text_images(iter([small])))) == 4000
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    sf = odd_texts(spark, tmp_path)
+    for q in (encode_too_small, encode_documents):
+        assert q(spark, sf)._jdf.queryExecution().executedPlan().toString().split().count("MapInArrow") == 1
