@@ -49,7 +49,7 @@ def decompress(data: bytes, most: int = 1 << 30) -> bytes:
 
 
 def planes_of(data: bytes, w: int, h: int, kind: str, bw: bool) -> list[np.ndarray]:
-    """The planes of one image. kind: rgb, rgba and nrgba (alpha ignored), gray, rgba16 (big-endian straight 16-bit
+    """The planes of one image, of bytes. kind: rgb, rgba and nrgba (alpha ignored), gray, rgba16 (big-endian straight 16-bit
     samples, premultiplied and cut to 8 bits), or ycbcr and a ratio (whole Y, then Cb and Cr at the ratio)."""
     px = np.frombuffer(data, dtype=np.uint8)
     if w <= 0 or h <= 0:
@@ -63,18 +63,21 @@ def planes_of(data: bytes, w: int, h: int, kind: str, bw: bool) -> list[np.ndarr
         for k in range(0 if bw else 2):
             at = w * h + k * cw * ch
             out.append(px[at : at + cw * ch].reshape(ch, cw)[np.arange(h)[:, None] // fy, np.arange(w)[None, :] // fx])
-        return [p.astype(np.int32) for p in out]
+        return out
     if kind == "rgba16":
         if len(px) != w * h * 8:
             raise kernel.CodecError("data don't fit the size")
-        wide = px.view(">u2").reshape(h, w, 4).astype(np.int64)
-        return kernel.planes(wide[..., :3] * wide[..., 3:] // 65535 >> 8, bw)
+        wide, cut = px.view(">u2").reshape(h, w, 4), np.empty((h, w, 3), dtype=np.uint8)
+        for at in kernel.strips(h, w):
+            part = wide[at].astype(np.int64)
+            cut[at] = part[..., :3] * part[..., 3:] // 65535 >> 8
+        return kernel.planes(cut, bw)
     n = CHANNELS[kind]
     if len(px) != w * h * n:
         raise kernel.CodecError("data don't fit the size")
     px = px.reshape(h, w, n)
     if kind == "gray":
-        y = px[..., 0].astype(np.int32)
+        y = px[..., 0]
         return [y] if bw else [y, np.full_like(y, 128), np.full_like(y, 128)]
     return kernel.planes(px[..., :3], bw)
 
@@ -98,20 +101,24 @@ def encoder(quality: int, bw: bool, keep_payload: bool = False) -> Step:
     q = clamp(quality)
     schema = pa.schema([("img_id", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("quality", pa.int32()), ("bw", pa.bool_()), ("raw_size", pa.int64()), ("payload", pa.binary()), ("compressed", pa.binary()), ("error", pa.string())])
 
+    def row(pack: Callable[[bytes], bytes], img: int, w: int, h: int, kind: str, data: pa.Buffer) -> tuple:
+        payload, error = None, None
+        try:
+            if data is None or w is None or h is None or kind not in KINDS:
+                raise kernel.CodecError("no image")
+            payload = kernel.encode(planes_of(data, w, h, kind, bw), q)
+        except kernel.CodecError as e:
+            error = str(e)
+        return img, w, h, q, bw, len(payload) if payload else None, payload if keep_payload else None, pack(payload) if payload else None, error
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=7)
+        pack = zstandard.ZstdCompressor(level=7).compress
         for batch in slices(batches):
             out: dict[str, list] = {n: [] for n in schema.names}
-            for img, w, h, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload, error = None, None
-                try:
-                    if data is None or w is None or h is None or kind not in KINDS:
-                        raise kernel.CodecError("no image")
-                    payload = kernel.encode(planes_of(data, w, h, kind, bw), q)
-                except kernel.CodecError as e:
-                    error = str(e)
-                row = (img, w, h, q, bw, len(payload) if payload else None, payload if keep_payload else None, packer.compress(payload) if payload else None, error)
-                for n, v in zip(schema.names, row, strict=True):
+            # the data stay where they are
+            views = (d.as_buffer() if d.is_valid else None for d in batch.column(4))
+            for img, w, h, kind, data in zip(*(c.to_pylist() for c in batch.columns[:4]), views, strict=True):
+                for n, v in zip(schema.names, row(pack, img, w, h, kind, data), strict=True):
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 

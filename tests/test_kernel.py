@@ -92,3 +92,34 @@ def test_trailing_bytes_and_frames():
     assert codec.decompress(codec.compress(b"ab") + codec.compress(b"cd")) == b"abcd"
     with pytest.raises(K.CodecError):
         codec.decompress(b"")
+
+
+def test_strips_give_the_same_payload(monkeypatch):
+    """Wherever a plane is cut, its streams go on: bits cross bytes, and strips end between and inside rows of blocks."""
+    rng = np.random.default_rng(2)
+    for w, h in ((1, 1), (4, 4), (9, 5), (33, 50), (70, 8), (8, 61)):
+        img = (rng.integers(0, 80, (h, w, 3)) + np.arange(w)[None, :, None]).astype(np.uint8)
+        wide = np.concatenate([rng.integers(0, 65536, (h, w, 4))]).astype(">u2").tobytes()
+        for q in range(0, 101, 10):
+            if min(w, h) < preset(q)[0]:
+                continue
+            monkeypatch.setattr(K, "STRIP", 1 << 18)
+            want = K.encode(K.planes(img), q), K.encode(codec.planes_of(wide, w, h, "rgba16", False), q)
+            for strip in (1, 50, 300):
+                monkeypatch.setattr(K, "STRIP", strip)
+                assert (K.encode(K.planes(img), q), K.encode(codec.planes_of(wide, w, h, "rgba16", False), q)) == want
+
+
+@pytest.mark.parametrize("q", [20, 40, 60, 80])
+def test_memory_of_a_long_image(q):
+    """Beside its data, an image costs its planes and two copies of its streams."""
+    import tracemalloc
+
+    n = 2_000_000
+    data = np.random.default_rng(0).integers(0, 256, 3 * n, dtype=np.uint8).tobytes()
+    K.encode(K.planes(np.zeros((8, 8, 3), dtype=np.uint8)), q)
+    tracemalloc.start()
+    p = K.encode(codec.planes_of(data, 100, n // 100, "rgb", False), q)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * n + 2 * len(p) + (12 << 20)
