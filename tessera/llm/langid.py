@@ -78,9 +78,12 @@ def suffix_of(url: Column) -> Column:
     return F.lower(F.when(path != "", path).otherwise(F.nullif(F.regexp_extract(url, r"^[^:]*://[^/?#]*?([a-zA-Z]+)(?:[:/?#]|$)", 1), F.lit(""))))
 
 
-def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suffix: Column, confidence: float = CONFIDENCE, train: DataFrame | None = None) -> DataFrame:
+def identify(docs: DataFrame, text: Column | str, declared: Column, host: Column, suffix: Column, confidence: float = CONFIDENCE, train: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """All rows and columns of ``docs``, and language, posterior, text_language, accepted.
 
+    ``keep`` names the columns that are returned, by default all: others don't go through Python. A text that is a column's
+    name and returned goes there once.
+
     ``train`` (text, declared) has the texts that the trigram models are counted on; by default ``docs`` with its declared
     languages. Every declared language with a trigram in its texts is a class, however few they are; declarations that
     differ in case or outer spaces are one, named as most of its documents write it, and blank ones are none. A row is accepted if its text has a trigram and the best language's posterior reaches ``confidence``.
@@ -88,6 +91,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     are no evidence. Without any declared language there is no class: language is null and nothing is accepted. Rows that
     repeat count and score as rows of their own. Columns of ``docs`` named like the added ones are replaced.
     """
+    named, text = (text, F.col(text)) if isinstance(text, str) else (None, text)
     if train is None:
         train = docs.select(text.alias("text"), declared.alias("declared"))
     clean = lambda c: F.lower(F.trim(c))
@@ -96,7 +100,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     spellings = train.select("text", "declared", "written").groupBy("declared", "written").agg(F.count("*").alias("n"))
     name = F.min_by("written", F.struct((-F.col("n")).alias("n"), "written")).alias("name")
     names = sorted((r.name, r.declared) for r in spellings.groupBy("declared").agg(name).collect())
-    rest = [c for c in docs.columns if c not in ("language", "posterior", "text_language", "accepted")]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "posterior", "text_language", "accepted")]
+    own = named if named in rest else f"{_PREFIX}text"
     number = {key: i for i, (_, key) in enumerate(names)}
     n_names = len(names)
 
@@ -126,15 +131,15 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     model = np.log(table / table.sum(axis=1, keepdims=True))
     n_langs = len(langs)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*rest, text.alias(f"{_PREFIX}text"), clean(declared).alias(f"{_PREFIX}declared"), clean(host).alias(f"{_PREFIX}host"), clean(suffix).alias(f"{_PREFIX}suffix"))
+    inner = docs.select(*rest, *([] if own in rest else [text.alias(own)]), clean(declared).alias(f"{_PREFIX}declared"), clean(host).alias(f"{_PREFIX}host"), clean(suffix).alias(f"{_PREFIX}suffix"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in text_pieces(_slices(batches, n_langs), f"{_PREFIX}text"):
+        for rows, data, off in text_pieces(_slices(batches, n_langs), own):
             score, n = _log_likelihoods(data, off, known.value)
             top = np.where(n > 0, score.argmax(axis=1), -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(top)], names=["declared", "host", "suffix", "top"])
 
-    seen = inner.select(f"{_PREFIX}declared", f"{_PREFIX}host", f"{_PREFIX}suffix", f"{_PREFIX}text").mapInArrow(best, "declared string, host string, suffix string, top int").where("top >= 0")
+    seen = inner.select(f"{_PREFIX}declared", f"{_PREFIX}host", f"{_PREFIX}suffix", own).mapInArrow(best, "declared string, host string, suffix string, top int").where("top >= 0")
     # counts by host and statement: as many rows as there are kinds of them, not documents
     cells = materialize(seen.groupBy("declared", "host", "suffix", "top").count(), "languages")
 
@@ -179,7 +184,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), added])
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in text_pieces(_slices(batches, n_langs), f"{_PREFIX}text"):
+        for rows, data, off in text_pieces(_slices(batches, n_langs), own):
             score, n = _log_likelihoods(data, off, known.value)
             get = lambda c: rows.column(rows.schema.get_field_index(_PREFIX + c)).to_pylist()
             total = score + np.array([p or base_log for p in get("prior")])
@@ -197,14 +202,14 @@ def identify(docs: DataFrame, text: Column, declared: Column, host: Column, suff
     return joined.mapInArrow(fuse, out_schema)
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``identify`` for rows of documents: ``lang`` is the declared language, ``source`` the host; there is no address."""
-    return identify(docs, F.col("text"), F.col("lang"), F.col("source"), F.lit(None).cast("string"))
+    return identify(docs, "text", F.col("lang"), F.col("source"), F.lit(None).cast("string"), keep=keep)
 
 
-def identify_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
+def identify_pages(pages: DataFrame, documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``identify`` for web pages with all evidence: the html element's lang, the address, the host; models from ``documents``."""
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     host = F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)
-    return identify(pages, body, F.nullif(declared, F.lit("")), F.nullif(host, F.lit("")), suffix_of(F.col("url")), train=documents.select("text", F.col("lang").alias("declared")))
+    return identify(pages, body, F.nullif(declared, F.lit("")), F.nullif(host, F.lit("")), suffix_of(F.col("url")), train=documents.select("text", F.col("lang").alias("declared")), keep=keep)

@@ -40,12 +40,12 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identify_documents(table(spark, sf_dir, "documents"))
+    rows = identify_documents(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"])
     return rows.select("doc_id", F.col("lang").alias("declared"), "language", F.round("posterior", 6).alias("posterior"), "text_language", "accepted")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    rows = identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), keep=["page_id", "url"])
     return rows.select("page_id", "url", "language", F.round("posterior", 6).alias("posterior"), "text_language", "accepted")
 
 

@@ -628,3 +628,22 @@ def test_rare_languages_are_classes(spark):
     got = {r.doc_id: r for r in langid.identify_documents(df).where("doc_id >= 5000 or doc_id < 5").collect()}
     assert all(got[i].language == got[i].text_language == "mt" and got[i].accepted for i in (5000, 5001, 5002))
     assert all(got[i].language == "en" and got[i].accepted for i in (0, 1, 2, 3, 4, 5003)) and got[5004].language in ("en", "mt")
+
+
+def test_language_sends_python_no_column_twice(spark, tmp_path):
+    """What a query doesn't return stays out of Python's rows, and a returned text goes there once; the rows are the same."""
+    from tessera.llm.queries import language_id_pages, op5_language_id
+
+    docs = spark.createDataFrame([(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 3, ("de", "en")[i % 2], "s0") for i in range(20)] + [(20, None, None, None)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(i, f"http://a{i % 3}.de/p", f"<html lang='de'><p>{'die katze und ' * i}</p></html>") for i in range(9)] + [(9, None, None)], "page_id long, url string, html string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    fused = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow fuse(" in x]
+    by_page, by_doc, whole = language_id_pages(spark, str(tmp_path)), op5_language_id(spark, str(tmp_path)), langid.identify_documents(docs)
+    assert all(len(fused(x)) == 1 for x in (by_page, by_doc, whole))
+    assert "html#" not in fused(by_page)[0] and " text#" not in fused(by_doc)[0] and "_lid_text#" not in fused(whole)[0]
+    added = ("language", "text_language", "accepted")
+    want = {r.page_id: tuple(r[c] for c in added) for r in langid.identify_pages(pages, docs).collect()}
+    assert {r.page_id: tuple(r[c] for c in added) for r in by_page.collect()} == want and len(want) == 10
+    want = {r.doc_id: tuple(r[c] for c in added) for r in whole.collect()}
+    assert {r.doc_id: tuple(r[c] for c in added) for r in by_doc.collect()} == want and whole.where("text is null").count() == 1
